@@ -9,6 +9,12 @@ from kinmatch.llm.common import documents
 from kinmatch.llm.decontamination import contamination
 from kinmatch.llm.exact_dedup import exact_dedup
 from kinmatch.llm.line_dedup import line_dedup
+from kinmatch.llm.suffix_dedup import suffix_dedup
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +29,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_bytes")
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op6_line_dedup": op6_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_decontamination": op3_decontamination, "op6_line_dedup": op6_line_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op3_decontamination": r"""
