@@ -75,7 +75,7 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     path = new_path(df.sparkSession, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # columns of `by` come last
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
