@@ -10,6 +10,7 @@ from kinmatch.llm.decontamination import contamination
 from kinmatch.llm.exact_dedup import exact_dedup
 from kinmatch.llm.jaccard_join import jaccard_classes
 from kinmatch.llm.line_dedup import line_dedup
+from kinmatch.llm.quality import quality
 from kinmatch.llm.suffix_dedup import suffix_dedup
 
 
@@ -30,11 +31,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_bytes")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op3_decontamination": r"""
