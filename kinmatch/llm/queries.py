@@ -10,6 +10,7 @@ from kinmatch.llm.decontamination import contamination
 from kinmatch.llm.exact_dedup import exact_dedup
 from kinmatch.llm.jaccard_join import jaccard_classes
 from kinmatch.llm.line_dedup import line_dedup
+from kinmatch.llm.pii import KINDS, find_pii, listed
 from kinmatch.llm.quality import quality
 from kinmatch.llm.suffix_dedup import suffix_dedup
 
@@ -35,11 +36,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
+    return find_pii(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_bytes")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op3_decontamination": r"""
