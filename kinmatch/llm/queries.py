@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from kinmatch.llm.line_dedup import line_dedup
 from kinmatch.llm.pii import KINDS, find_pii, listed
 from kinmatch.llm.quality import quality
 from kinmatch.llm.suffix_dedup import suffix_dedup
+from kinmatch.llm.token_files import is_wide, read_tokens, write_tokens
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest, folder = write_tokens(documents(spark, sf_dir), path)
+    return read_tokens(manifest, folder, wide=is_wide(path))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("items", "spans")
 
@@ -48,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_bytes")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_token_files": op2_token_files, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op3_decontamination": r"""
