@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmatch.llm.byte_bpe import round_trips
 from kinmatch.llm.common import documents
 from kinmatch.llm.decontamination import contamination
 from kinmatch.llm.exact_dedup import exact_dedup
@@ -52,11 +53,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_bytes")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_token_files": op2_token_files, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_pii": op8_pii, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_token_files": op2_token_files, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_pii": op8_pii, "op9_byte_bpe": op9_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op3_decontamination": r"""
