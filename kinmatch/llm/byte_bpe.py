@@ -130,26 +130,28 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _encoded_rows(path: str, pattern: str, digests: bool):
+def _encoded_rows(path: str, pattern: str, digests: bool, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = list(c.ids(part.column("txt").to_pylist()))
+                sha = lambda data: hashlib.sha256(data).hexdigest()
+                columns, names = [part.column("did")], ["did"]
                 if digests:
-                    sha = lambda data: hashlib.sha256(data).hexdigest()
-                    columns = [pa.array(map(len, found), pa.int64()), pa.array([sha(" ".join(map(str, ids)).encode()) for ids in found], pa.string()), pa.array([sha(c.decode(ids)) for ids in found], pa.string())]
-                    yield pa.RecordBatch.from_arrays([part.column("did"), *columns], ["did", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column("did"), pa.array(found, pa.list_(pa.int32()))], ["did", "ids"])
+                    columns += [pa.array(map(len, found), pa.int64()), pa.array([sha(" ".join(map(str, ids)).encode()) for ids in found], pa.string()), pa.array([sha(c.decode(ids)) for ids in found], pa.string())]
+                    names += ["n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(found, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and ids (array<int>). Null and empty texts have no ids; an empty table gives no rows."""
-    rows = plain(docs, id_col, text_col).mapInArrow(_encoded_rows(ranks_path, pattern, digests=False), "did long, ids array<int>")
+    rows = plain(docs, id_col, text_col).mapInArrow(_encoded_rows(ranks_path, pattern, digests=False, with_ids=True), "did long, ids array<int>")
     return rows.select(given_id().alias("doc_id"), "ids")
 
 
@@ -165,10 +167,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     return source.mapInArrow(rows, "did long, data binary").select(F.col("did").alias("doc_id"), "data")
 
 
-def round_trips(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode and decode in one map, with digests in place of ids and bytes: doc_id, n_tokens, ids_sha256 (of decimal ids with single spaces between), decoded_sha256."""
-    rows = plain(docs, id_col, text_col).mapInArrow(_encoded_rows(ranks_path, pattern, digests=True), "did long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return rows.select(given_id().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+def round_trips(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """encode and decode in one map, with digests: doc_id, n_tokens, ids_sha256 (of decimal ids with single spaces between), decoded_sha256, and ids if asked for."""
+    more = ", ids array<int>" * with_ids
+    rows = plain(docs, id_col, text_col).mapInArrow(_encoded_rows(ranks_path, pattern, True, with_ids), "did long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    return rows.select(given_id().alias("doc_id"), *rows.columns[1:])
 
 
 # The fold in Spark's higher-order functions.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, plain, steps, utf8
+from kinmatch.llm.common import NO_ID, given_id, plain, steps, utf8
 from kinmatch.llm.words import ALNUM, words
 
 WINDOW = 13
@@ -272,3 +272,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(
         given_id().alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans"
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """The rows of docs, with all their columns, that contamination() doesn't find contaminated (rows that share an id stay or go together)."""
+    found = contamination(docs, benchmark, id_col, text_col, **columns).filter("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
+    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found, "_id", "left_anti").select(*docs.columns)

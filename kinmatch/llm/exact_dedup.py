@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import bit_filter, given_id, may_hold, mixed, plain, steps, stored, utf8
+from kinmatch.llm.common import NO_ID, bit_filter, given_id, may_hold, mixed, plain, steps, stored, utf8
 
 PRIME = np.uint64(2**31 - 1)
 #: Four independent bases below PRIME: about 124 bits together.
@@ -126,4 +126,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct("did", "row"))
     groups = rows.groupBy(*KEYS, "same").agg(first.alias("first"), F.count("*").alias("group_size"))
     out = rows.join(groups, [*KEYS, "same"])
-    return out.select(given_id().alias("doc_id"), F.when(F.col("first.did") != 2**63 - 1, F.col("first.did")).alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_bytes")
+    return out.select(given_id().alias("doc_id"), F.when(F.col("first.did") != NO_ID, F.col("first.did")).alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_bytes")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whitespace: str = r"[\x20\x09-\x0D]+") -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup keeps: one of each group of equal texts."""
+    kept = exact_dedup(docs, id_col, text_col, whitespace).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_sha": F.sha2(F.regexp_replace(text, whitespace, " "), 256)})
+    # Rows with one id and equal texts are one row here.
+    return named.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import bit_filter, given_id, joined, may_hold, mixed, plain, steps, stored, utf8
+from kinmatch.llm.common import NO_ID, bit_filter, given_id, joined, may_hold, mixed, plain, steps, stored, utf8
 from kinmatch.llm.components import connected_components
 from kinmatch.llm.words import NONSPACE, words
 
@@ -274,3 +274,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = connected_components(stored(matched.unionByName(copies), "links"), "classes")
     out = sets.select("did", "n").join(classes.withColumnRenamed("node", "did"), "did", "left")
     return out.withColumn("root", F.coalesce("component", "did")).select(given_id().alias("doc_id"), F.col("n").alias("n_shingles"), given_id("root").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the smallest of its class of near-duplicates."""
+    others = jaccard_classes(docs, id_col, text_col, n, percent).filter("component_id < doc_id or (doc_id is null and component_id is not null)")
+    others = others.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
+    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(others, "_id", "left_anti").select(*docs.columns)

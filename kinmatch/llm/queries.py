@@ -10,6 +10,7 @@ from kinmatch.llm.byte_bpe import round_trips
 from kinmatch.llm.common import documents
 from kinmatch.llm.decontamination import contamination
 from kinmatch.llm.exact_dedup import exact_dedup
+from kinmatch.llm.html_text import html_text
 from kinmatch.llm.jaccard_join import jaccard_classes
 from kinmatch.llm.line_dedup import line_dedup
 from kinmatch.llm.pii import KINDS, find_pii, listed
@@ -33,6 +34,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(documents(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
 
@@ -61,7 +66,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("n_bytes")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_token_files": op2_token_files, "op3_decontamination": op3_decontamination, "op5_jaccard_join": op5_jaccard_join, "op6_line_dedup": op6_line_dedup, "op7_quality": op7_quality, "op8_pii": op8_pii, "op9_byte_bpe": op9_byte_bpe, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_decontamination, op4_html_text, op5_jaccard_join, op6_line_dedup, op7_quality, op8_pii, op9_byte_bpe, op10_exact_dedup)}
 
 SQL = {
     "op3_decontamination": r"""
