@@ -36,26 +36,30 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def violations(rows: DataFrame, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(rule, example) for each violation in parsed rows; required: s1_id; known: other_id, asks for the check of unknown ids."""
-    say = lambda df, rule, c: df.select(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("example"))
+    """(rule, example) for each violation in parsed rows; required: s1_id; known: other_id, asks for the check of unknown ids.
+
+    One pass finds what a row shows by itself, one grouping by s1_id compares
+    rows with required records, and one anti join finds unknown ids.
+    """
+    source = lambda x: F.substring_index(x, "-", 1)
+    named = lambda rule, c: F.struct(F.lit(rule).alias("rule"), c.cast("string").alias("example"))
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    inside = F.concat(
+        F.when(F.col("s1_id").isNull(), F.array(named("malformed", F.col("line")))).otherwise(F.array().cast("array<struct<rule:string,example:string>>")),
+        F.when(F.size(ids) != F.size(F.array_distinct(ids)), F.array(named("repeated_id", F.col("s1_id")))).otherwise(F.array().cast("array<struct<rule:string,example:string>>")),
+        F.transform(F.filter(ids, lambda x: source(x) == "S1"), lambda x: named("self_match", x)),
+        F.transform(F.filter(ids, lambda x: ~source(x).isin("S1", "S2", "S3")), lambda x: named("bad_prefix", x)),
+    )
+    found = rows.select(F.explode(inside).alias("x")).select("x.rule", "x.example")
     good = rows.filter("s1_id is not null")
-    each = good.select("s1_id", F.explode("ids").alias("id"))
-    source = F.substring_index("id", "-", 1)
-    found = [
-        say(rows.filter("s1_id is null"), "malformed", "line"),
-        say(good.groupBy("s1_id").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_s1", "s1_id"),
-        say(good.filter(F.size("ids") != F.size(F.array_distinct("ids"))), "repeated_id", "s1_id"),
-        say(each.filter(source == "S1"), "self_match", "id"),
-        say(each.filter(~source.isin("S1", "S2", "S3")), "bad_prefix", "id"),
-        say(required.select("s1_id").distinct().join(good, "s1_id", "left_anti"), "missing_s1", "s1_id"),
-        say(good.select("s1_id").distinct().join(required, "s1_id", "left_anti"), "extra_s1", "s1_id"),
-    ]
+    both = good.select("s1_id", F.lit(1).alias("n"), F.lit(0).alias("wanted")).unionByName(required.select("s1_id", F.lit(0).alias("n"), F.lit(1).alias("wanted")))
+    per = both.groupBy("s1_id").agg(F.sum("n").alias("n"), F.max("wanted").alias("wanted"))
+    rules = F.array_compact(F.array(F.when(F.col("n") > 1, F.lit("duplicate_s1")), F.when(F.col("n") == 0, F.lit("missing_s1")), F.when(F.col("wanted") == 0, F.lit("extra_s1"))))
+    found = found.unionByName(per.select(F.explode(rules).alias("rule"), F.col("s1_id").alias("example")))
     if known is not None:
-        found.append(say(each.filter(source.isin("S2", "S3")).join(known.select(F.col("other_id").alias("id")), "id", "left_anti"), "unknown_id", "id"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        each = good.select(F.explode("ids").alias("id")).filter(source(F.col("id")).isin("S2", "S3"))
+        found = found.unionByName(each.join(known.select(F.col("other_id").alias("id")), "id", "left_anti").select(F.lit("unknown_id").alias("rule"), F.col("id").alias("example")))
+    return found
 
 
 def not_candidates(results: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def not_candidates(results: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def report(found: DataFrame, shown: int = SHOWN) -> DataFrame:
     """(rule, severity, n, examples): the number of violations and the first few distinct examples in order, kept small by a second grouping before they are listed."""
-    per = found.groupBy("rule", "example").agg(F.count("*").alias("n"))
+    per = found.groupBy("rule", "example").agg(F.count("*").alias("n")).cache()
     nth = F.row_number().over(Window.partitionBy("rule").orderBy("example"))
     counts = per.groupBy("rule").agg(F.sum("n").alias("n"))
     first = per.withColumn("nth", nth).filter(F.col("nth") <= shown).groupBy("rule").agg(F.array_join(F.sort_array(F.collect_list("example")), ";").alias("examples"))

@@ -299,7 +299,7 @@ def label_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    good = emit_results(spark, sf_dir).select("ord", F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("line"))
+    good = emit_results(spark, sf_dir).select("ord", F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("line")).cache()
     line, i = F.col("line"), F.col("ord") % 21
     bad = good.filter(i != 15).select(
         "ord",
@@ -311,11 +311,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = _lines(spark, sf_dir)
     required, known = _entities(spark, sf_dir), document_records(spark, sf_dir).filter("src > 1").select(F.col("entity_id").alias("other_id"))
-    cand = emit_candidates(spark, sf_dir).select(F.concat_ws("\t", "source1_entity_id", "candidate_entity_ids").alias("line"))
+    cand = V.parsed(emit_candidates(spark, sf_dir).select(F.concat_ws("\t", "source1_entity_id", "candidate_entity_ids").alias("line"))).cache()
     out = None
     for name, lines in (("good", good), ("bad", bad)):
-        rows = V.parsed(lines)
-        found = V.report(V.violations(rows, required, known).unionByName(V.not_candidates(rows, V.parsed(cand)))).withColumn("file", F.lit(name))
+        rows = V.parsed(lines).cache()  # the files that are checked; each rule reads them
+        found = V.report(V.violations(rows, required, known).unionByName(V.not_candidates(rows, cand))).withColumn("file", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out
 

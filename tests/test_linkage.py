@@ -188,3 +188,42 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_run(spark, tmp_path):
+    """Block, train, predict and validate from files; a second run resumes."""
+    from kinmatch.plans import linkage
+
+    r = random.Random(6)
+    words = "amber birch cedar delta ember flint grove harbor iris jade".split()
+    name = lambda i: " ".join(random.Random(i).sample(words, 3)) + f" {i}"
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    for s in (1, 2, 3):
+        body = "".join(f"S{s}-{i}\t{name(i)}{' Ltd' if s == 2 else ''}\t{r.randrange(99)} Lakeview, Pune {10000 + i}\tIndia\n" for i in range(60) if s == 1 or i % s)
+        (tmp_path / f"s{s}.tsv").write_text(head + body)
+    (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t{','.join(f'S{s}-{i}' for s in (2, 3) if i % s)}\n" for i in range(60)))
+    paths = [str(tmp_path / f"s{s}.tsv") for s in (1, 2, 3)]
+    p, m = K.BlockingParams(token_cap=60, post_budget=60), L.ModelParams(rounds=3, depth=3, negatives=1.0)
+    out = linkage.run(spark, "full", paths, str(tmp_path / "t.tsv"), str(tmp_path / "out"), p, m)
+    truth = records.read_truth(spark, str(tmp_path / "t.tsv"))
+    assert out.count() == 60
+    got = out.select(F.col("source1_entity_id").alias("s1_id"), records.id_list(F.col("matched_entity_ids")).alias("got")).join(truth, "s1_id")
+    right = got.select(F.avg((F.array_sort("got") == F.array_sort("ids")).cast("double"))).first()[0]
+    assert right > 0.8
+    assert linkage.run(spark, "recall", paths, str(tmp_path / "t.tsv"), str(tmp_path / "out"), p, m).first().recall > 0.9
+    rows = V.parsed(V.read_lines(spark, str(tmp_path / "out" / "matching_results")).filter("line not like 'source1_entity_id%'"))
+    assert V.report(V.violations(rows, truth.select("s1_id"))).count() == 0
+
+
+def test_stream(spark, tmp_path):
+    from kinmatch.streaming.probe import stream_pairs
+
+    one = [(i, f"S1-{i}", 1, f"acme tools {i}", "", "us") for i in range(5)]
+    two = [(i, f"S2-{i}", 2, f"acme tools {i}", "", "us") for i in range(5)]
+    rec(spark, two).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ord long, entity_id string, src long, business_name string, business_address string, country string").parquet(str(tmp_path / "in"))
+    q = stream_pairs(stream, K.prepare(rec(spark, one)), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.s1_id, r.other_id) for r in spark.read.parquet(str(tmp_path / "out")).filter("rank = 1").collect()}
+    assert got == {(f"S1-{i}", f"S2-{i}") for i in range(5)}
