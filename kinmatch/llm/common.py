@@ -9,6 +9,8 @@ inside by NO_ID, the largest long, sorts after all others and comes out as null.
 from __future__ import annotations
 
 import atexit
+import gc
+import os.path
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,6 +80,18 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)  # columns of `by` come last
 
 
+def path_of(table: DataFrame) -> str:
+    """The folder of a table from stored()."""
+    files = table.inputFiles()
+    return next((p for p in _STORED if any(f"/{os.path.basename(p)}/" in f for f in files)), "/nowhere")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of finished jobs now: it does so when the driver's garbage is collected, which may be long after. Nothing may read those jobs' DataFrames later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string or binary column without nulls."""
     if isinstance(column, pa.ChunkedArray):
