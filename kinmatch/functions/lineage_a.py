@@ -108,5 +108,5 @@ def common_prefix_length(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of arrays without duplicates; two empty ones are equal (1.0)."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    overlap = bound(F.size(F.array_intersect(a, b)), lambda k: k / (F.size(a) + F.size(b) - k))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(overlap)

@@ -14,8 +14,8 @@ def _flag(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
 
 
-def pair_features_a(l: Column, r: Column) -> dict[str, Column]:  # noqa: E741
-    """The 20 features of two light records, in the trained order."""
+def pair_features_a(l: Column, r: Column, grams: tuple[Column, Column], prefixes: tuple[Column, Column]) -> dict[str, Column]:  # noqa: E741
+    """The 20 features of two light records, in the trained order. grams, prefixes: columns of both names' trigrams and token prefixes, each used several times."""
     n1, n2, t1, t2 = l["n"], r["n"], l["toks"], r["toks"]
     l1, l2 = F.length(n1), F.length(n2)
     shortest, longest = F.least(l1, l2), F.greatest(l1, l2)
@@ -24,11 +24,11 @@ def pair_features_a(l: Column, r: Column) -> dict[str, Column]:  # noqa: E741
     a_few, a_many = F.least(F.size(l["atok"]), F.size(r["atok"])), F.greatest(F.size(l["atok"]), F.size(r["atok"]))
     numbered = lambda a: F.filter(a, lambda t: t.rlike("^[0-9]"))
     edge = lambda n, i: F.element_at(F.split(n, " "), i)
-    both = (few > 0)
+    both = few > 0
     return {
         "name_exact": _flag((n1 == n2) & (n1 != "")),
         "name_jacc": A.jaccard(t1, t2),
-        "name_tri": A.jaccard(A.trigrams(n1), A.trigrams(n2)),
+        "name_tri": A.jaccard(*grams),
         "name_pre3": _flag((l1 >= 3) & (F.substring(n1, 1, 3) == F.substring(n2, 1, 3))),
         "addr_jacc": A.jaccard(l["atok"], r["atok"]),
         "pin_eq": _flag(F.arrays_overlap(l["pins"], r["pins"])),
@@ -45,7 +45,7 @@ def pair_features_a(l: Column, r: Column) -> dict[str, Column]:  # noqa: E741
         "min_len_log": F.when(longest == 0, 0.0).otherwise(F.least(F.lit(1.0), F.log1p(shortest) / 5.0)),
         "addr_len_ratio": F.when(a_many == 0, 1.0).otherwise(a_few / a_many),
         "tok_min_log": F.when(many == 0, 0.0).otherwise(F.least(F.lit(1.0), few / 6.0)),
-        "tok_pre4_jacc": A.jaccard(A.token_prefixes(n1), A.token_prefixes(n2)),
+        "tok_pre4_jacc": A.jaccard(*prefixes),
     }
 
 
@@ -54,7 +54,9 @@ FEATURES_A = "name_exact name_jacc name_tri name_pre3 addr_jacc pin_eq country_e
 
 def with_features_a(pairs: DataFrame) -> DataFrame:
     """Pairs (with sides l and r) and their 20 features."""
-    return pairs.select("*", *[c.cast("double").alias(k) for k, c in pair_features_a(F.col("l"), F.col("r")).items()]).drop("l", "r")
+    once = pairs.withColumns({"_g1": A.trigrams(F.col("l.n")), "_g2": A.trigrams(F.col("r.n")), "_p1": A.token_prefixes(F.col("l.n")), "_p2": A.token_prefixes(F.col("r.n"))})
+    features = pair_features_a(F.col("l"), F.col("r"), (F.col("_g1"), F.col("_g2")), (F.col("_p1"), F.col("_p2")))
+    return once.select("*", *[c.cast("double").alias(k) for k, c in features.items()]).drop("l", "r", "_g1", "_g2", "_p1", "_p2")
 
 
 def records_b(records: DataFrame, fold: bool = True) -> DataFrame:
