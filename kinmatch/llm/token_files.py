@@ -24,7 +24,7 @@ from kinmatch.llm.common import given_id, new_path, plain, stored
 from kinmatch.llm.pieces import cut
 
 #: Pieces that a Python worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 MANIFEST = "shard int, name string, n_docs long, n_ids long"
 
 
@@ -37,32 +37,35 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces that follow a space
+        self.first: dict[str, bytes] = {}  # pieces that start a text, from the last few texts
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str], into: dict[str, bytes], space: str) -> None:
         for i in range(0, len(pieces), 20_000):
             part = pieces[i : i + 20_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            got = self.tokenizer.encode([space + p for p in part], is_pretokenized=True, add_special_tokens=False)
             ids, word = np.array(got.ids, self.kind), np.array(got.word_ids, np.int64)
             at = np.searchsorted(word, np.arange(len(part) + 1)) * self.kind.itemsize
             raw = ids.tobytes()
-            self.known.update((p, raw[a:b]) for p, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True))
+            into.update((p, raw[a:b]) for p, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True))
 
     def encode(self, texts: list[str], end: int | None) -> Iterator[bytes]:
         """The ids of each text, and then the end id, as bytes."""
         last = b"" if end is None else self.kind.type(end).tobytes()
         for i in range(0, len(texts), 512):
-            cuts = []
-            for t in texts[i : i + 512]:
-                first, *rest = cut(t)
-                cuts.append([first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)])
-            new = set().union(*cuts).difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = set().union(*cuts)
-            self.learn(list(new))
+            cuts = [cut(t) for t in texts[i : i + 512]]
+            starts = [c[0] for c in cuts]
             for c in cuts:
-                yield b"".join(map(self.known.__getitem__, c)) + last
+                del c[0]
+            self.first = {"": b""}
+            self.learn(list(set(starts) - {""}), self.first, "")
+            used = set().union(*cuts)
+            new = used.difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:  # what these texts use stays
+                self.known = {p: self.known[p] for p in used.difference(new)}
+            self.learn(list(new), self.known, " ")
+            for s, c in zip(starts, cuts, strict=True):
+                yield self.first[s] + b"".join(map(self.known.__getitem__, c)) + last
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
