@@ -24,7 +24,7 @@ NO_ID = 2**63 - 1
 #: Bits of the filters that are sent to all tasks: 2 MB whatever the input's size. A full filter lets more rows through; it never loses one.
 FILTER_BITS = 1 << 24
 #: Text that one vectorised step takes at most (a longer document is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

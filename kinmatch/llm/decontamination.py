@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of the training text.
 
-A shard (a few MB of documents) becomes a sequence of word numbers, in which 0
+A shard (about 1 MB of documents) becomes a sequence of word numbers, in which 0
 stands for words that no benchmark item has and for the ends of texts; runs of
 other words that are shorter than the shortest phrase can't hold a match and
 fold into one 0. The suffix array of that sequence gives the Burrows-Wheeler
@@ -24,7 +24,7 @@ from kinmatch.llm.common import NO_ID, given_id, plain, steps, utf8
 from kinmatch.llm.words import ALNUM, words
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 8
 #: Benchmark text that goes to the tasks at once; a larger benchmark is searched in blocks of about this size.
 BLOCK_BYTES = 32 << 20

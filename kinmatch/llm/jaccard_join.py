@@ -1,10 +1,13 @@
 """N-gram Jaccard join of all documents, and the classes that its links make.
 
-A set of word n-grams is held as sorted 64-bit hashes. Candidates: two sets
-with a similarity of t differ in so few elements that, cut into one part more
-than that by their hashes, they agree on a whole part; sizes fall into bands,
-and a set is cut as its own band and the next smaller one ask. Sets that agree
-on a part are gathered into candidate classes (a superset of the true ones).
+A set of word n-grams is held as sorted 64-bit hashes. Candidates come from a
+prefix filter: with all elements in one order, two sets of similarity t share
+one among the first |set| - ceil(t |set|) + 1 of each. Elements of one document
+alone come first in that order and need no key, as they are shared with none; so
+a document that is not mostly made of others' n-grams sends nothing. Which
+elements repeat is told by a bit filter of a bounded size (false alarms cost
+keys, never links), made from sorted, delta-coded hash lists. Sets that share a
+key are gathered into candidate classes (a superset of the true ones).
 Each class, in order of size, is cut into tiles; a pair of tiles whose size
 bands can hold links at all is one piece of work. In it, bitmap signatures of
 hashed elements bound each overlap from above by bit counts, what is left is
@@ -14,18 +17,21 @@ sets are one set from the start, so copies never meet as pairs.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import NO_ID, bit_filter, given_id, joined, may_hold, mixed, plain, steps, stored, utf8
+from kinmatch.llm.common import NO_ID, bit_filter, given_id, joined, may_hold, mixed, plain, release, steps, stored, utf8
 from kinmatch.llm.components import connected_components
+from kinmatch.llm.suffix_dedup import LEAST_BITS, SEGMENTS, packed, segment_filters, suspected
 from kinmatch.llm.words import NONSPACE, words
 
+#: The filter over repeated elements is at most 32 MB.
+MOST_BITS = 1 << 28
 #: Elements of the sets of one tile, at most (unless a single set has more).
 TILE = 1 << 19
 
@@ -49,58 +55,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return grams[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=docs))])
 
 
-class Bands:
-    """Size bands: sets of sizes [low[b], low[b + 1]) are in band b, and sizes that can link are in one band or in neighbours."""
+def prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many first elements of a set must hold one of any set that it links with."""
+    return np.where(sizes > 0, sizes + (-percent * sizes) // 100 + 1, 0)
 
-    def __init__(self, percent: int):
-        self.percent = percent
 
-    def band(self, sizes: np.ndarray) -> np.ndarray:
-        # Bands' lows are 1 and then the last low / t, rounded up past it; found by search in the table.
-        return np.searchsorted(self.lows(int(sizes.max(initial=1))), sizes, "right") - 1
-
-    def lows(self, most: int) -> np.ndarray:
-        out = [1]
-        while out[-1] <= most:
-            out.append(out[-1] * 100 // self.percent + 1)  # the largest partner of the smallest size, plus one
-        return np.array(out)
-
-    def parts(self, band: int, lows: np.ndarray) -> int:
-        """Parts for sets of this band and the next: one more than the most elements in which two that link can differ."""
-        top = int(lows[min(band + 2, len(lows) - 1)]) - 1 if band + 2 < len(lows) else int(lows[-1]) * 100 // self.percent
-        t = self.percent / 100
-        return math.floor(2 * top * (1 - t) / (1 + t) + 1e-9) + 1
-
-
-def part_keys(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) rows: for each set, the hashed parts for its own band and for the one below."""
-    sizes, bands = np.diff(at), Bands(percent)
-    owners, keys = [], []
-    if not sizes.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    lows = bands.lows(int(sizes.max()) * 2)
-    band = np.searchsorted(lows, sizes, "right") - 1
-    spread = mixed(grams ^ np.uint64(0x5851F42D4C957F2D))
+def prefix_keys(grams: np.ndarray, at: np.ndarray, repeated: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, element) rows: each set's first elements, those that don't repeat before the others, but only the repeated ones."""
+    sizes = np.diff(at)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    for down in (0, 1):
-        use = band - down
-        counts = np.array([bands.parts(b, lows) if b >= 0 else 0 for b in range(int(use.max(initial=0)) + 1)], np.int64)
-        parts = np.where((sizes > 0) & (use >= 0), counts[np.maximum(use, 0)], 0)
-        start = np.cumsum(parts) - parts
-        live = parts[owner] > 0
-        slot = start[owner[live]] + (grams[live] % parts[owner[live]].astype(np.uint64)).astype(np.int64)
-        total = int(parts.sum())
-        sums = np.zeros(total, np.uint64)
-        order = np.argsort(slot, kind="stable")
-        ordered = slot[order]
-        if len(ordered):
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            sums[ordered[first]] = np.add.reduceat(spread[live][order], first)
-        mine = np.repeat(np.arange(len(sizes)), parts)
-        nth = np.arange(total) - start[mine]
-        owners.append(mine)
-        keys.append(mixed(sums + mixed((use[mine].astype(np.uint64) << np.uint64(32)) + nth.astype(np.uint64))))
-    return np.concatenate(owners), np.concatenate(keys)
+    before = np.concatenate([[0], np.cumsum(repeated)])
+    own = before[at[1:]] - before[at[:-1]]
+    wanted = prefix_sizes(sizes, percent) - (sizes - own)
+    kept = repeated & (before[:-1] - before[at[:-1]][owner] < wanted[owner])
+    return owner[kept], grams[kept]
 
 
 def set_names(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,35 +78,73 @@ def set_names(grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mixed(a[at[1:]] - a[at[:-1]]).view(np.int64), mixed(b[at[1:]] - b[at[:-1]]).view(np.int64)
 
 
-FOUND = "kind string, did long, a long, b long, n long"
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the first document, and the sets, a step at a time."""
+    data, offsets = utf8(batch.column("txt"))
+    for i, j in steps(offsets):
+        yield i, *shingle_sets(data, offsets[i : j + 1], n)
+
+
+def _name_rows(n: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, names = [], []
+            for _, grams, at in _sets(batch, n):
+                sizes.append(np.diff(at))
+                names.append(set_names(grams, at))
+            a, b = (joined([x[k] for x in names], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(a), pa.array(b), pa.array(joined(sizes, np.int64))], ["did", "a", "b", "n"])
+
+    return rows
 
 
-def _found_rows(n: int, percent: int):
-    """kind s: a document's set (name a, b; size n). kind k: a part (hash a) of a set, first owned by did. kind l: documents did and a share a part."""
+def _element_rows(n: int):
+    """Sorted lists of a batch's elements, with whether two of its documents have them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, count = np.unique(joined([grams for _, grams, _ in _sets(batch, n)], np.uint64), return_counts=True)
+            cuts = np.searchsorted(key >> np.uint64(56), np.arange(SEGMENTS + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            lists = [(packed(key[cuts[s] : cuts[s + 1]]), np.packbits(count[cuts[s] : cuts[s + 1]] > 1).tobytes()) for s in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary())], ["segment", "keys", "several"])
+
+    return rows
+
+
+def repeated_elements(source: DataFrame, n: int) -> tuple[Broadcast, int]:
+    """A filter over the elements of two documents or more, one segment a row, and each segment's bits."""
+    total = source.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(total).bit_length())) // SEGMENTS
+    lists = source.select("txt").mapInArrow(_element_rows(n), "segment int, keys binary, several binary")
+    filters = lists.repartition(SEGMENTS // 4, "segment").sortWithinPartitions("segment").mapInArrow(segment_filters(bits), "segment int, held binary")
+    held = np.zeros((SEGMENTS, bits // 8), np.uint8)
+    for r in stored(filters, "element-filter").toLocalIterator():  # MOST_BITS at most, a few files at a time
+        held[r.segment] = np.frombuffer(r.held, np.uint8)
+    del lists, filters
+    release(source.sparkSession)
+    return source.sparkSession.sparkContext.broadcast(held), bits
+
+
+def _key_rows(n: int, percent: int, held: np.ndarray, bits: int):
+    """(key, did): each key once a batch, with the smallest of its documents; the others are tied to that one by keys of their own."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("txt"))
             dids = batch.column("did").to_numpy()
-            owners, keys, sizes, names = [], [], [], []
-            for i, j in steps(offsets):
-                grams, at = shingle_sets(data, offsets[i : j + 1], n)
-                owner, key = part_keys(grams, at, percent)
+            owners, keys = [], []
+            for i, grams, at in _sets(batch, n):
+                owner, key = prefix_keys(grams, at, suspected(held, bits, grams), percent)
                 owners.append(dids[owner + i])
                 keys.append(key)
-                sizes.append(np.diff(at))
-                names.append(set_names(grams, at))
-            owner, key, size = joined(owners, np.int64), joined(keys, np.uint64), joined(sizes, np.int64)
+            owner, key = joined(owners, np.int64), joined(keys, np.uint64)
             order = np.lexsort((owner, key))
             owner, key = owner[order], key[order]
             first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
             pivot = owner[first][np.cumsum(first) - 1] if len(key) else owner
-            links = np.unique(np.stack([owner, pivot], axis=1)[owner != pivot], axis=0)
-            a, b = (joined([x[k] for x in names], np.int64) for k in (0, 1))
-            none = np.zeros
-            for kind, columns in (("s", (dids, a, b, size)), ("k", (owner[first], key[first].view(np.int64), none(first.sum(), np.int64), none(first.sum(), np.int64))), ("l", (links[:, 0], links[:, 1], none(len(links), np.int64), none(len(links), np.int64)))):
-                m = len(columns[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["kind", "did", "a", "b", "n"])
+            ties = np.unique(np.stack([owner, pivot], axis=1)[owner != pivot], axis=0)
+            tie = mixed(mixed(ties[:, 0].astype(np.uint64)) + ties[:, 1].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], tie, tie]).view(np.int64)), pa.array(np.concatenate([owner[first], ties[:, 0], ties[:, 1]]))], ["key", "did"])
 
     return rows
 
@@ -240,12 +246,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     source = plain(docs, id_col, text_col)
-    found = stored(source.mapInArrow(_found_rows(n, percent), FOUND), "shingle-parts", by="kind")
-    sets = found.filter("kind = 's'").select("did", "a", "b", "n")
-    parts = found.filter("kind = 'k'").select("did", "a")
-    in_batch = found.filter("kind = 'l'").select("did", F.col("a").alias("pivot"))
-    across = parts.withColumn("pivot", F.first("did").over(Window.partitionBy("a").orderBy("did").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rough = connected_components(in_batch.unionByName(across.filter("did <> pivot").select("did", "pivot")).select(F.col("did").alias("a"), F.col("pivot").alias("b")).distinct(), "rough-classes")
+    sets = stored(source.mapInArrow(_name_rows(n), "did long, a long, b long, n long"), "shingle-sets")
+    sent, bits = repeated_elements(source, n)
+    parts = source.mapInArrow(lambda batches: _key_rows(n, percent, sent.value, bits)(batches), "key long, did long")
+    first = F.first("did").over(Window.partitionBy("key").orderBy("did").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    across = parts.withColumn("pivot", first).filter("did <> pivot").select(F.col("did").alias("a"), F.col("pivot").alias("b")).distinct()
+    across = stored(across, "rough-links")
+    del parts
+    release(spark)
+    rough = connected_components(across, "rough-classes")
 
     # One document stands for all with its set.
     named = sets.filter("n > 0")
@@ -271,7 +280,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     texts = source.withColumn("h", F.xxhash64("did")).withColumn("txt", F.col("txt").cast("binary")).mapInArrow(candidates, "did long, txt binary")
     matched = texts.join(wanted, "did").repartition("work").sortWithinPartitions("work").select("work", "did", "side", "n", "txt").mapInArrow(_tile_rows(n, percent), "a long, b long")
-    classes = connected_components(stored(matched.unionByName(copies), "links"), "classes")
+    links = stored(matched.unionByName(copies), "links")
+    del matched, texts
+    release(spark)
+    classes = connected_components(links, "classes")
     out = sets.select("did", "n").join(classes.withColumnRenamed("node", "did"), "did", "left")
     return out.withColumn("root", F.coalesce("component", "did")).select(given_id().alias("doc_id"), F.col("n").alias("n_shingles"), given_id("root").alias("component_id"))
 

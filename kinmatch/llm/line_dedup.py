@@ -153,7 +153,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = hashes.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_LINE * lines).bit_length())) // SEGMENTS
     twice = hashes.repartition(SEGMENTS // 4, "segment").sortWithinPartitions("segment").mapInArrow(_filter_rows(bits), "segment int, twice binary")
-    segments = {r.segment: np.frombuffer(r.twice, np.uint8) for r in twice.toLocalIterator()}  # MOST_BITS at most
+    segments = {r.segment: np.frombuffer(r.twice, np.uint8) for r in stored(twice, "line-filter").toLocalIterator()}  # MOST_BITS at most
     sent = spark.sparkContext.broadcast(segments)
     suspects = stored(binary.mapInArrow(lambda batches: _suspect_rows(least_chars, sent.value, bits)(batches), "did long, tk long, key string"), "line-suspects")
     common = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("did").alias("last")).filter(F.col("n") >= least_docs).select("key", "last")
