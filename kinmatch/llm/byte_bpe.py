@@ -29,7 +29,7 @@ from kinmatch.llm.common import given_id, plain
 from kinmatch.llm.pieces import cut
 
 #: Pieces whose ids a Python worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Words longer than this fold by a heap.
 LONG = 96
 NO_RANK = 1 << 31
@@ -98,18 +98,16 @@ class Codec:
         self.known: dict[str, list[int]] = {}
 
     def ids(self, texts: list[str]) -> Iterator[list[int]]:
-        known = self.known
         for text in texts:
             first, *rest = cut(text)
-            pieces = [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
-            for p in set(pieces).difference(known):
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                    for q in set(pieces):
-                        known[q] = self.piece(q)
-                known[p] = self.piece(p)
-            out: list[int] = []
-            for got in map(known.__getitem__, pieces):
+            used = set(rest)
+            new = used.difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:  # what this text uses stays
+                self.known = {p: self.known[p] for p in used.difference(new)}
+            for p in new:
+                self.known[p] = self.piece(" " + p)
+            out = self.piece(first)
+            for got in map(self.known.__getitem__, rest):
                 out += got
             yield out
 
@@ -145,6 +143,7 @@ def _encoded_rows(path: str, pattern: str, digests: bool, with_ids: bool):
                 if with_ids:
                     columns, names = [*columns, pa.array(found, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        c.known = {}  # a worker that does other work next needs the memory
 
     return rows
 

@@ -50,33 +50,48 @@ HINTS = {
 AGAINST = r"(?i)order|invoice|isbn|version|page|date|price|serial|\bid\b|build|total|score|room|table|year|\$|€|£"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once, also where then uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def prefix_sums(lengths: Column) -> Column:
-    """The sum of all elements before each, in blocks, so that even 100,000 of them cost little."""
+    """The sum of all elements before each, in blocks, so that even 100,000 of them cost little. lengths: a bound variable."""
     block = 256
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int"))
-    sums = F.transform(starts, lambda b: total(F.slice(lengths, b * block + 1, block)))
-    before = F.transform(starts, lambda b: total(F.slice(sums, F.lit(1), b)))
-    inner = F.transform(starts, lambda b: F.transform(F.slice(lengths, b * block + 1, block), lambda x, i: F.element_at(before, b + 1) + total(F.slice(F.slice(lengths, b * block + 1, block), F.lit(1), i))))
-    return F.when(F.size(lengths) > 0, F.flatten(inner)).otherwise(F.array().cast("array<int>"))
+    part = lambda b: F.slice(lengths, b * block + 1, block)
+
+    def placed(sums: Column) -> Column:
+        before = F.transform(starts, lambda b: total(F.slice(sums, F.lit(1), b)))
+        return F.flatten(F.zip_with(starts, before, lambda b, t: let(part(b), lambda ls: F.transform(ls, lambda x, i: t + total(F.slice(ls, F.lit(1), i))))))
+
+    return F.when(F.size(lengths) > 0, let(F.transform(starts, lambda b: total(part(b))), placed)).otherwise(F.array().cast("array<int>"))
+
+
+def _placed(pairs: Column, base: Column) -> Column:
+    """array<struct<s,e,t>> of pairs of texts: b comes before t, and all follow one another from base on."""
+
+    def of(ps: Column) -> Column:
+        lengths = F.transform(ps, lambda z: F.length(z["b"]) + F.length(z["t"]))
+        ends = let(lengths, lambda ls: F.zip_with(ps, prefix_sums(ls), lambda z, p: F.struct((base + p + F.length(z["b"])).alias("s"), z["t"].alias("t"))))
+        return F.transform(ends, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["t"])).alias("e"), x["t"].alias("t")))
+
+    return let(pairs, of)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<s,e,t>> of a pattern's matches: start, end (code points) and text. Positions are sums of the lengths of what lies between and of the matches."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: F.length(F.element_at(between, i + 1)) + F.length(m))
-    zipped = F.arrays_zip(found.alias("t"), prefix_sums(lengths).alias("p"))
-    spans = F.transform(zipped, lambda z, i: F.struct((z["p"] + F.length(F.element_at(between, i + 1))).alias("s"), z["t"].alias("t")))
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["t"])).alias("e"), x["t"].alias("t")))
+    return _placed(F.filter(F.arrays_zip(between.alias("b"), found.alias("t")), lambda z: z["t"].isNotNull()), F.lit(0))
 
 
 def pieces(spans: Column, cut: str) -> Column:
     """Each span cut at a pattern into spans of its own."""
 
     def of(x: Column) -> Column:
-        parts, cuts = F.split(x["t"], cut, -1), F.regexp_extract_all(x["t"], F.lit(cut), F.lit(0))
-        lengths = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(cuts, i)), F.lit(0)))
-        return F.transform(F.arrays_zip(parts.alias("t"), prefix_sums(lengths).alias("p")), lambda z: F.struct((x["s"] + z["p"]).alias("s"), (x["s"] + z["p"] + F.length(z["t"])).alias("e"), z["t"].alias("t")))
+        parts, cuts = F.split(x["t"], cut, -1), F.concat(F.array(F.lit("")), F.regexp_extract_all(x["t"], F.lit(cut), F.lit(0)))
+        return _placed(F.arrays_zip(cuts.alias("b"), parts.alias("t")), x["s"])
 
     return F.flatten(F.transform(spans, of))
 
