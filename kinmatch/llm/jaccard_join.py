@@ -32,6 +32,8 @@ from kinmatch.llm.words import NONSPACE, words
 
 #: The filter over repeated elements is at most 32 MB.
 MOST_BITS = 1 << 28
+#: Text whose elements are sorted at once.
+LIST_BYTES = 8 << 20
 #: Elements of the sets of one tile, at most (unless a single set has more).
 TILE = 1 << 19
 
@@ -99,15 +101,17 @@ def _name_rows(n: int):
 
 
 def _element_rows(n: int):
-    """Sorted lists of a batch's elements, with whether two of its documents have them."""
+    """Sorted lists of the elements of some documents (LIST_BYTES of text), with whether two of these have them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, count = np.unique(joined([grams for _, grams, _ in _sets(batch, n)], np.uint64), return_counts=True)
-            cuts = np.searchsorted(key >> np.uint64(56), np.arange(SEGMENTS + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            lists = [(packed(key[cuts[s] : cuts[s + 1]]), np.packbits(count[cuts[s] : cuts[s + 1]] > 1).tobytes()) for s in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary())], ["segment", "keys", "several"])
+            _, offsets = utf8(batch.column("txt"))
+            for i, j in steps(offsets, LIST_BYTES):
+                key, count = np.unique(joined([grams for _, grams, _ in _sets(batch.slice(i, j - i), n)], np.uint64), return_counts=True)
+                cuts = np.searchsorted(key >> np.uint64(56), np.arange(SEGMENTS + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                lists = [(packed(key[cuts[s] : cuts[s + 1]]), np.packbits(count[cuts[s] : cuts[s + 1]] > 1).tobytes()) for s in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary())], ["segment", "keys", "several"])
 
     return rows
 
