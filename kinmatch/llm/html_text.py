@@ -41,6 +41,13 @@ IMPLIED_END = {
     "caption": (frozenset("caption".split()), frozenset("html table template".split())),
 } | {k: (frozenset("tr td th thead tbody tfoot caption colgroup".split()), frozenset("html table template".split())) for k in ("thead", "tbody", "tfoot")}
 
+SECTIONS = frozenset("thead tbody tfoot".split())
+CELLS = frozenset("td th caption".split())
+#: For a part of a table that starts: which open parts of the table it may stand in; all else in the table ends.
+WITHIN = {k: frozenset() for k in ("caption", "colgroup", *SECTIONS)} | {"col": frozenset(["colgroup"]), "tr": SECTIONS, "td": SECTIONS | {"tr"}, "th": SECTIONS | {"tr"}}
+#: Elements that hold parts of a table only: other content goes before the table.
+TABLE_ONLY = SECTIONS | {"table", "tr"}
+
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s/=>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -112,9 +119,24 @@ def build(page: str) -> Node:
             if open_[k].tag in fence:
                 return
 
+    def table_at() -> int:
+        """Place of the innermost open table; 0 if there is none or a template hides it."""
+        if count["table"]:
+            for k in range(len(open_) - 1, 1, -1):
+                if open_[k].tag in ("table", "template"):
+                    return k if open_[k].tag == "table" else 0
+        return 0
+
+    def put(child: Node | str, part: bool = False) -> None:
+        """Add a child to the open element; what is no part of a table stands before it instead."""
+        if not part and open_[-1].tag in TABLE_ONLY and (k := table_at()):
+            open_[k - 1].children.insert(len(open_[k - 1].children) - 1, child)
+        else:
+            open_[-1].children.append(child)
+
     def start(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
-        open_[-1].children.append(node)
+        put(node, tag in WITHIN or tag in ("script", "style", "template"))
         if tag not in VOID:
             open_.append(node)
             count[tag] += 1
@@ -128,12 +150,10 @@ def build(page: str) -> Node:
                 if not text.strip():
                     continue
                 end(len(open_) - 1)
-            if open_[-1].tag in ("table", "tbody", "thead", "tfoot", "tr") and text.strip():
-                # Text between cells stands before its table.
-                k = max(i for i, n in enumerate(open_) if n.tag == "table")
-                open_[k - 1].children.insert(len(open_[k - 1].children) - 1, text)
-            else:
-                open_[-1].children.append(text)
+            blank = not text.strip()
+            if open_[-1].tag == "colgroup" and not blank:
+                end(len(open_) - 1)
+            put(text, blank)
         elif kind == "raw":
             open_[-1].children.append(html.unescape(name) if rest in ("textarea", "title") else name)
         elif kind == "start":
@@ -152,6 +172,16 @@ def build(page: str) -> Node:
                 name = "img"
             if name in CLOSES_P:
                 close(frozenset(["p"]), SCOPE | {"button"})
+            if name in WITHIN and (k := table_at()):
+                while k + 1 < len(open_) and open_[k + 1].tag in WITHIN[name]:
+                    k += 1
+                end(k + 1)
+            elif open_[-1].tag == "colgroup":
+                end(len(open_) - 1)
+            if name == "table" and (k := table_at()) and not any(n.tag in CELLS for n in open_[k + 1 : k + 4]):
+                end(k)
+            if name == "form" and open_[-1].tag in TABLE_ONLY and table_at():
+                continue  # it ends at once
             if name in IMPLIED_END:
                 names, fence = IMPLIED_END[name]
                 if name in ("tr", "thead", "tbody", "tfoot"):
@@ -172,9 +202,9 @@ def build(page: str) -> Node:
                 close(frozenset([name]), SCOPE)
             start(name, attributes(rest))
         elif name == "br":
-            open_[-1].children.append(Node("br", {}))
+            put(Node("br", {}))
         elif name == "p" and not count["p"]:
-            open_[-1].children.append(Node("p", {}))
+            put(Node("p", {}))
         elif name not in VOID and name not in ("html", "body"):
             fence = frozenset(["html", "table", "template"]) if name in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else frozenset(["html", "template"]) if name in ("table", "template") else SCOPE
             close(frozenset([name]), fence - {name})

@@ -305,6 +305,39 @@ def test_layout(page):
     assert H.page_text(page) == LAID_OUT[page]
 
 
+UNTIDY_TABLES = {
+    "<table><tr><form><td>x</td></form></tr></table>": "x",
+    "<table><form><tr><td>x<td>y</form><tr><td>z</table>": "x  y\nz",
+    "<table><div>Hello</div><tr><td>a</table>": "Hello\n\na",
+    "<table><tr><b>note</b><td>a</table>": "note\n\na",
+    "<table><tr><td>a</td></tr><table><tr><td>b</td></tr></table>": "a\n\nb",
+    "<table><div><table><tr><td>b</table>": "b",
+    "<table><tr><td>a<div>in<td>b<tr><p>out<th>c</table>end": "out\n\na   b\nin\nc\n\nend",
+    "<table><colgroup><col><i>early</i><tr><td>a</table>": "early\n\na",
+    "<table>1<b>2</b>3<tbody>4<tr>5<td>6</table>7": "12345\n\n6\n\n7",
+    "<table><caption>c<table><tr><td>in</table><tr><td>a</table>": "c\n\nin\na",
+    "<table><input type=submit value=Go><tr><td>a</table>": "Go\n\na",
+    "<table><template><tr>no<td>no</template><tr><td>a</table>": "a",
+    "<tr>x": "x",
+}
+
+
+@pytest.mark.parametrize("page", UNTIDY_TABLES)
+def test_untidy_tables_keep_their_text(page):
+    assert H.page_text(page) == UNTIDY_TABLES[page]
+
+
+def test_no_text_is_lost_among_table_tags():
+    r = random.Random(5)
+    tags = "table tr td th tbody thead caption colgroup form div b p a ul li h2 center span".split()
+    for _ in range(3000):
+        page, words = "", []
+        for k in range(r.randrange(1, 14)):
+            page += "".join(f"<{r.choice(['', '', '/'])}{r.choice(tags)}>" for _ in range(r.randrange(4))) + f" w{k}w "
+            words.append(f"w{k}w")
+        assert sorted(re.findall(r"w\d+w", H.page_text("<table>" + page))) == sorted(words), page
+
+
 class Words(html.parser.HTMLParser):
     """Visible words in order, the plain way."""
 
