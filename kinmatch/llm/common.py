@@ -36,6 +36,11 @@ def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("txt"))
 
 
+def text_key(text_col: str = "txt"):
+    """A 64-bit hash of the text: with its id, it tells a row from others that share the id or have none."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def given_id(col: str = "did"):
     return F.when(F.col(col) != NO_ID, F.col(col))
 

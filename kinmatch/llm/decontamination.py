@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import NO_ID, given_id, plain, steps, utf8
+from kinmatch.llm.common import NO_ID, given_id, plain, steps, text_key, utf8
 from kinmatch.llm.words import ALNUM, words
 
 WINDOW = 13
@@ -236,26 +236,18 @@ def _result_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items.append(sorted(set(found)))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("did"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array(spans, kind)],
-            ["did", "n_words", "n_hit", "items", "items_sha256", "spans"],
+            [batch.column("did"), batch.column("tk"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array(spans, kind)],
+            ["did", "tk", "n_words", "n_hit", "items", "items_sha256", "spans"],
         )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, spans (byte ranges of hit passages, merged).
-
-    A window is window consecutive words of an item, or the whole of a shorter
-    item that has words. A word inside any occurrence of a window is hit; a
-    document is contaminated when 20 * n_hit >= n_words and n_hit > 0. Null or
-    wordless texts have 0 words and are clean; an item without an id hits words
-    but is not listed; an empty benchmark hits nothing; an empty table gives no
-    rows; repeated rows are judged one by one.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int) -> DataFrame:
+    """contamination(), with the rows' text hashes (tk) and with did for doc_id."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("txt"))
     total = items.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    source = plain(docs, id_col, text_col).withColumn("tk", F.xxhash64("txt"))
+    source = plain(docs, id_col, text_col).withColumn("tk", text_key())
     found = None
     for k in range(blocks):
         got = items.filter(F.pmod(F.xxhash64("txt", "item"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES
@@ -268,13 +260,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
         found = found.groupBy("did", "tk").agg(F.first("n_words").alias("n_words"), flat("words"), flat("bytes"), flat("items"))
         found = source.select("did", "tk").join(found, ["did", "tk"])
-    out = found.mapInArrow(_result_rows, "did long, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<struct<start:int,end:int>>")
-    return out.select(
-        given_id().alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans"
-    )
+    out = found.mapInArrow(_result_rows, "did long, tk long, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<struct<start:int,end:int>>")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, spans (byte ranges of hit passages, merged).
+
+    A window is window consecutive words of an item, or the whole of a shorter
+    item that has words. A word inside any occurrence of a window is hit; a
+    document is contaminated when 20 * n_hit >= n_words and n_hit > 0. Null or
+    wordless texts have 0 words and are clean; an item without an id hits words
+    but is not listed; an empty benchmark hits nothing; an empty table gives no
+    rows; repeated rows are judged one by one.
+    """
+    out = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
+    return out.select(given_id().alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256", "contaminated", "spans")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """The rows of docs, with all their columns, that contamination() doesn't find contaminated (rows that share an id stay or go together)."""
-    found = contamination(docs, benchmark, id_col, text_col, **columns).filter("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(found, "_id", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, that contamination() doesn't find contaminated (each row by itself, also where rows share an id or have none)."""
+    found = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window).filter("contaminated").select(F.col("did").alias("_id"), F.col("tk").alias("_tk"))
+    named = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tk": text_key(text_col)})
+    return named.join(found, ["_id", "_tk"], "left_anti").select(*docs.columns)

@@ -12,7 +12,8 @@ Each class, in order of size, is cut into tiles; a pair of tiles whose size
 bands can hold links at all is one piece of work. In it, bitmap signatures of
 hashed elements bound each overlap from above by bit counts, what is left is
 intersected exactly, and pairs that are connected already are skipped. Equal
-sets are one set from the start, so copies never meet as pairs.
+sets are one set from the start, so copies never meet as pairs. A row is known by
+its id and a hash of its text, as ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import NO_ID, bit_filter, given_id, joined, may_hold, mixed, plain, release, steps, stored, utf8
+from kinmatch.llm.common import NO_ID, bit_filter, given_id, joined, may_hold, mixed, plain, release, steps, stored, text_key, utf8
 from kinmatch.llm.components import connected_components
 from kinmatch.llm.suffix_dedup import LEAST_BITS, SEGMENTS, packed, segment_filters, suspected
 from kinmatch.llm.words import NONSPACE, words
@@ -95,7 +96,7 @@ def _name_rows(n: int):
                 sizes.append(np.diff(at))
                 names.append(set_names(grams, at))
             a, b = (joined([x[k] for x in names], np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(a), pa.array(b), pa.array(joined(sizes, np.int64))], ["did", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("tk"), pa.array(a), pa.array(b), pa.array(joined(sizes, np.int64))], ["did", "tk", "a", "b", "n"])
 
     return rows
 
@@ -131,15 +132,15 @@ def repeated_elements(source: DataFrame, n: int) -> tuple[Broadcast, int]:
 
 
 def _key_rows(n: int, percent: int, held: np.ndarray, bits: int):
-    """(key, did): each key once a batch, with the smallest of its documents; the others are tied to that one by keys of their own."""
+    """(key, tk): each key once a batch, with the smallest of its texts' hashes; the others are tied to that one by keys of their own."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dids = batch.column("did").to_numpy()
+            tks = batch.column("tk").to_numpy()
             owners, keys = [], []
             for i, grams, at in _sets(batch, n):
                 owner, key = prefix_keys(grams, at, suspected(held, bits, grams), percent)
-                owners.append(dids[owner + i])
+                owners.append(tks[owner + i])
                 keys.append(key)
             owner, key = joined(owners, np.int64), joined(keys, np.uint64)
             order = np.lexsort((owner, key))
@@ -148,7 +149,7 @@ def _key_rows(n: int, percent: int, held: np.ndarray, bits: int):
             pivot = owner[first][np.cumsum(first) - 1] if len(key) else owner
             ties = np.unique(np.stack([owner, pivot], axis=1)[owner != pivot], axis=0)
             tie = mixed(mixed(ties[:, 0].astype(np.uint64)) + ties[:, 1].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], tie, tie]).view(np.int64)), pa.array(np.concatenate([owner[first], ties[:, 0], ties[:, 1]]))], ["key", "did"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], tie, tie]).view(np.int64)), pa.array(np.concatenate([owner[first], ties[:, 0], ties[:, 1]]))], ["key", "tk"])
 
     return rows
 
@@ -215,85 +216,108 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
 
 def _tile_rows(n: int, percent: int):
     def links(group: list[tuple]) -> pa.RecordBatch:
-        group.sort(key=lambda r: (r[3], r[1]))
-        texts = [r[4] for r in group]
+        group.sort(key=lambda r: (r[4], r[1], r[2]))
+        texts = [r[5] for r in group]
         data = np.frombuffer(b"".join(texts), np.uint8)
         grams, at = shingle_sets(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), n)
         sets = [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        found = tile_links(sets, np.array([r[2] for r in group]), percent)
-        return pa.RecordBatch.from_arrays([pa.array([group[i][1] for i, _ in found], pa.int64()), pa.array([group[j][1] for _, j in found], pa.int64())], ["a", "b"])
+        found = tile_links(sets, np.array([r[3] for r in group]), percent)
+        ends = [[group[pair[end]][c] for pair in found] for c in (1, 2) for end in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b", "ta", "tb"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
+        seen: set[tuple] = set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("work", "did", "side", "n", "txt")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("work", "did", "tk", "side", "n", "txt")), strict=True):
                 if group and row[0] != group[0][0]:
                     yield links(group)
-                    group = []
-                group.append(row)
+                    group, seen = [], set()
+                if row[1:4] not in seen:  # a repeated row is one here
+                    seen.add(row[1:4])
+                    group.append(row)
         if group:
             yield links(group)
 
     return rows
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Words are maximal runs of all but the space and \\t to \\r, A-Z lower-cased;
-    a text's set holds its distinct n-word shingles, or the whole of a shorter
-    text. Two rows link when 100 * intersection >= percent * union; empty sets
-    link with nothing. component_id is the smallest id reachable (its own id
-    without links). A null id is the largest of all; rows that share an id share
-    their component, each with the links of all of them; an empty table gives no
-    rows.
-    """
+def _set_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The set of each row (did, tk, a, b, n), and links that join the rows of each class: the ids (a, b) and text hashes (ta, tb) of two rows."""
     spark = docs.sparkSession
-    source = plain(docs, id_col, text_col)
-    sets = stored(source.mapInArrow(_name_rows(n), "did long, a long, b long, n long"), "shingle-sets")
+    source = plain(docs, id_col, text_col).withColumn("tk", text_key())
+    sets = stored(source.mapInArrow(_name_rows(n), "did long, tk long, a long, b long, n long"), "shingle-sets")
     sent, bits = repeated_elements(source, n)
-    parts = source.mapInArrow(lambda batches: _key_rows(n, percent, sent.value, bits)(batches), "key long, did long")
-    first = F.first("did").over(Window.partitionBy("key").orderBy("did").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    across = parts.withColumn("pivot", first).filter("did <> pivot").select(F.col("did").alias("a"), F.col("pivot").alias("b")).distinct()
+    parts = source.mapInArrow(lambda batches: _key_rows(n, percent, sent.value, bits)(batches), "key long, tk long")
+    first = F.first("tk").over(Window.partitionBy("key").orderBy("tk").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    across = parts.withColumn("pivot", first).filter("tk <> pivot").select(F.col("tk").alias("a"), F.col("pivot").alias("b")).distinct()
     across = stored(across, "rough-links")
     del parts
     release(spark)
     rough = connected_components(across, "rough-classes")
 
-    # One document stands for all with its set.
+    # One row stands for all with its set.
     named = sets.filter("n > 0")
-    heads = named.groupBy("a", "b", "n").agg(F.min("did").alias("head"))
-    copies = named.join(heads, ["a", "b", "n"]).filter("did <> head").select(F.col("did").alias("a"), F.col("head").alias("b"))
-    members = heads.join(rough.withColumnRenamed("node", "head"), "head").select("head", "component", "n").distinct()
+    heads = named.groupBy("a", "b", "n").agg(F.min("did").alias("head"), F.min_by("tk", "did").alias("tk"))
+    copies = named.join(heads.withColumnRenamed("tk", "head_tk"), ["a", "b", "n"]).filter("did <> head or tk <> head_tk").select(F.col("did").alias("a"), F.col("head").alias("b"), F.col("tk").alias("ta"), F.col("head_tk").alias("tb"))
+    members = heads.join(rough.withColumnRenamed("node", "tk"), "tk").select("head", "tk", "component", "n")
     # Tiles: stretches of a class's sets, in order of size, with about TILE elements each.
     several = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
     members = members.join(several, "component")
-    order = Window.partitionBy("component").orderBy("n", "head")
+    order = Window.partitionBy("component").orderBy("n", "head", "tk")
     large = members.filter(F.col("total") > TILE).withColumn("tile", F.floor((F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")) / TILE).cast("int"))
-    tiles = stored(members.filter(F.col("total") <= TILE).withColumn("tile", F.lit(0)).unionByName(large).select("component", "head", "n", "tile"), "tiles")
+    tiles = stored(members.filter(F.col("total") <= TILE).withColumn("tile", F.lit(0)).unionByName(large).select("component", "head", "tk", "n", "tile"), "tiles")
     bands = tiles.groupBy("component", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = bands.select("component", F.col("tile").alias("tile_b"), F.col("least").alias("least_b"))
     work = bands.join(other, "component").filter((F.col("tile") <= F.col("tile_b")) & (100 * F.col("most") >= percent * F.col("least_b"))).select("component", "tile", "tile_b", F.xxhash64("component", "tile", "tile_b").alias("work"))
     sides = work.select("component", "tile", "work", F.lit(0).alias("side")).unionByName(work.filter("tile <> tile_b").select("component", F.col("tile_b").alias("tile"), "work", F.lit(1).alias("side")))
-    wanted = tiles.join(sides, ["component", "tile"]).select("work", F.col("head").alias("did"), "side", "n")
-    held = spark.sparkContext.broadcast(bit_filter(tiles.select(F.xxhash64("head").alias("h")), "h"))
+    wanted = tiles.join(sides, ["component", "tile"]).select("work", F.col("head").alias("did"), "tk", "side", "n")
+    held = spark.sparkContext.broadcast(bit_filter(tiles.select(F.xxhash64("head", "tk").alias("h")), "h"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["did", "txt"]).filter(pa.array(may_hold(held.value, batch.column("h").to_numpy())))
+            yield batch.select(["did", "tk", "txt"]).filter(pa.array(may_hold(held.value, batch.column("h").to_numpy())))
 
-    texts = source.withColumn("h", F.xxhash64("did")).withColumn("txt", F.col("txt").cast("binary")).mapInArrow(candidates, "did long, txt binary")
-    matched = texts.join(wanted, "did").repartition("work").sortWithinPartitions("work").select("work", "did", "side", "n", "txt").mapInArrow(_tile_rows(n, percent), "a long, b long")
+    texts = source.withColumn("h", F.xxhash64("did", "tk")).withColumn("txt", F.col("txt").cast("binary")).mapInArrow(candidates, "did long, tk long, txt binary")
+    matched = texts.join(wanted, ["did", "tk"]).repartition("work").sortWithinPartitions("work").select("work", "did", "tk", "side", "n", "txt").mapInArrow(_tile_rows(n, percent), "a long, b long, ta long, tb long")
     links = stored(matched.unionByName(copies), "links")
     del matched, texts
     release(spark)
-    classes = connected_components(links, "classes")
+    return sets, links
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Words are maximal runs of all but the space and \\t to \\r, A-Z lower-cased;
+    a text's set holds its distinct n-word shingles, or the whole of a shorter
+    text. Two rows link when 100 * intersection >= percent * union; empty sets
+    link with nothing. component_id is the smallest id reachable (its own id
+    without links). A null id is the largest of all; rows that share an id share
+    their component, each with the links of all of them; an empty table gives no
+    rows.
+    """
+    sets, links = _set_links(docs, id_col, text_col, n, percent)
+    classes = connected_components(links.select("a", "b"), "classes")
     out = sets.select("did", "n").join(classes.withColumnRenamed("node", "did"), "did", "left")
     return out.withColumn("root", F.coalesce("component", "did")).select(given_id().alias("doc_id"), F.col("n").alias("n_shingles"), given_id("root").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its class of near-duplicates."""
-    others = jaccard_classes(docs, id_col, text_col, n, percent).filter("component_id < doc_id or (doc_id is null and component_id is not null)")
-    others = others.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(others, "_id", "left_anti").select(*docs.columns)
+    """The rows of docs, with all their columns, but for those that a class of near-duplicates holds beside its first row.
+
+    Classes are of rows here: an id that several rows share, or that is null,
+    links none of them. The first row is that of the smallest id, null the largest,
+    and among rows with one id that of the smallest text hash; equal rows stay or go
+    together.
+    """
+    sets, links = _set_links(docs, id_col, text_col, n, percent)
+    classes = connected_components(links.select(F.col("ta").alias("a"), F.col("tb").alias("b")), "classes")
+    linked = links.select(F.explode(F.array("ta", "tb")).alias("tk")).distinct()  # with texts that link only with their copies
+    linked = linked.join(classes.withColumnRenamed("node", "tk"), "tk", "left").select("tk", F.coalesce("component", "tk").alias("component"))
+    members = stored(sets.select("did", "tk").join(linked, "tk").distinct(), "class-rows")
+    firsts = members.groupBy("component").agg(F.min("did").alias("first"))
+    firsts = members.join(firsts, "component").filter("did = first").groupBy("component").agg(F.min("did").alias("first"), F.min("tk").alias("first_tk"))
+    others = members.join(firsts, "component").filter("did <> first or tk <> first_tk").select(F.col("did").alias("_id"), F.col("tk").alias("_tk"))
+    named = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tk": text_key(text_col)})
+    return named.join(others, ["_id", "_tk"], "left_anti").select(*docs.columns)

@@ -257,6 +257,25 @@ def test_keep_one_of_each(spark):
     assert keep_one_of_each(empty(spark)).collect() == []
 
 
+def test_links_beside_rows_without_ids(spark):
+    base = [prose(900 + i, 40 + 15 * i) for i in range(24)]
+    data = [(2 * i, t) for i, t in enumerate(base)] + [(2 * i + 1, edited(t, i, 1)) for i, t in enumerate(base)]
+    data += [(None, f"{base[i]} {base[i + 1]}") for i in range(23)]  # in one candidate class with all, linked with none
+    data += [(90, edited(base[20], 5, 1)), (90, prose(60, 100)), (91, base[7]), (91, base[7])]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(table(spark, data)).collect())
+    assert got == brute_classes(data, 3, 90)
+
+
+def test_keep_one_of_each_judges_rows(spark):
+    far = [prose(70 + i, 80) for i in range(4)]
+    near = prose(80, 200)
+    data = [(1, near), (None, edited(near, 1, 1)), (None, far[0]), (None, far[1]), (7, edited(near, 2, 1)), (7, far[2]), (8, far[3]), (8, far[3])]
+    data += [(None, edited(prose(81, 200), 1, 1)), (None, edited(prose(81, 200), 2, 1))]  # no ids at all: one of the two
+    kept = Counter((r.doc_id, r.text) for r in keep_one_of_each(table(spark, data)).collect())
+    assert sum(kept[x] for x in data[-2:]) == 1
+    assert kept - Counter(data[-2:]) == Counter([data[0], data[2], data[3], data[5], data[6], data[7]])
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_key(percent):
     r = np.random.default_rng(3)

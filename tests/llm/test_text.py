@@ -80,6 +80,12 @@ def test_keep_clean(spark):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows() if i not in bad)
 
 
+def test_keep_clean_judges_rows(spark):
+    data = [(None, prose(90, 40)), (None, prose(91, 40)), (3, prose(90, 40)), (3, prose(92, 40)), (4, prose(93, 40))]
+    kept = keep_clean(table(spark, data), spark.createDataFrame([(1, prose(90, 40))], "item_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([data[1], data[3], data[4]])
+
+
 def test_wavelet_ranks_and_fm_search():
     r = np.random.default_rng(0)
     s = np.concatenate([[0], r.integers(0, 7, 500)])
