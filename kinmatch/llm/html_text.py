@@ -23,8 +23,8 @@ from kinmatch.llm.common import given_id, plain
 # Fixed sets of element names, as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas svg math select datalist textarea meta link base param source track area map".split())
-BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table ul caption tr td th thead tbody tfoot option xmp".split())
+UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas datalist meta link base param source track area".split()) | {"svg title", "svg desc", "svg defs", "svg metadata", "svg symbol", "svg clippath", "svg mask", "svg pattern", "svg marker", "math annotation", "math annotation-xml"}
+BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table ul caption tr td th thead tbody tfoot option xmp mtr".split()) | {"svg text"}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure hr fieldset xmp".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp li dd dt".split())
 HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
@@ -41,6 +41,13 @@ IMPLIED_END = {
     "caption": (frozenset("caption".split()), frozenset("html table template".split())),
 } | {k: (frozenset("tr td th thead tbody tfoot caption colgroup".split()), frozenset("html table template".split())) for k in ("thead", "tbody", "tfoot")}
 
+#: Elements of drawings and formulas that other rules hold for than for the same names elsewhere.
+FOREIGN = {"svg": frozenset("title desc defs metadata symbol clippath mask pattern marker text".split()), "math": frozenset("annotation annotation-xml".split())}
+#: HTML elements that end an open drawing or formula, unless they stand in an element that takes HTML.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+TAKES_HTML = frozenset("foreignobject mi mo mn ms mtext".split()) | {"svg desc", "svg title", "math annotation-xml"}
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z|^[^=]*/\Z")
+
 SECTIONS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th caption".split())
 #: For a part of a table that starts: which open parts of the table it may stand in; all else in the table ends.
@@ -72,6 +79,7 @@ def attributes(text: str) -> dict[str, str]:
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes): kinds text, start, end."""
     at, last = 0, page.rfind(">")
+    drawn = 0  # open drawings
     while at < len(page):
         m = TOKEN.search(page, at) if at <= last or page.startswith("<!--", at) else None
         if not m:
@@ -85,10 +93,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue  # a comment, doctype or bogus tag
         name = name.lower()
         if m[0][1] == "/":
+            drawn -= drawn > 0 and name == "svg"
             yield "end", name, ""
             continue
-        yield "start", name, m[2] or m[4] or ""
-        if name in RAW:
+        rest = m[2] or m[4] or ""
+        yield "start", name, rest
+        closed = bool(SELF_CLOSED.search(rest))
+        drawn += name == "svg" and not closed
+        if name in RAW and not (drawn and closed):
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             yield "raw", page[at : close.start() if close else len(page)], name
             at = close.end() if close else len(page)
@@ -142,7 +154,21 @@ def build(page: str) -> Node:
             count[tag] += 1
         return node
 
+    def break_out() -> None:
+        """End the open drawings and formulas around this place, up to an element that takes HTML."""
+        last = 0
+        for k in range(len(open_) - 1, 1, -1):
+            if open_[k].tag in TAKES_HTML:
+                break
+            last = k if open_[k].tag in FOREIGN else last
+        if last:
+            end(last)
+
     for kind, name, rest in tokens(page):
+        inside = [k for k in FOREIGN if count[k]]
+        if inside and kind == "start" and name in BREAKOUT:
+            break_out()
+        name = next((f"{k} {name}" for k in inside if kind in ("start", "end") and name in FOREIGN[k]), name)
         top = open_[-1]
         if kind == "text":
             text = html.unescape(name) if "&" in name else name
@@ -200,7 +226,18 @@ def build(page: str) -> Node:
                 start("tr", {})
             if name == "button" or name == "a":
                 close(frozenset([name]), SCOPE)
-            start(name, attributes(rest))
+            if name in ("select", "input", "textarea") and count["select"]:
+                close(frozenset(["select"]), SCOPE)
+                if name == "select":
+                    continue
+            if name == "optgroup":
+                close(frozenset([name]), frozenset(["select", "datalist"]) | SCOPE)
+                close(frozenset(["option"]), frozenset(["select", "datalist"]) | SCOPE)
+            node = start(name, attributes(rest))
+            if count["svg"] and (node.attributes.get("display") == "none" or node.attributes.get("visibility") in ("hidden", "collapse")):
+                node.attributes["hidden"] = ""
+            if open_[-1] is node and (inside or name in FOREIGN) and SELF_CLOSED.search(rest):
+                end(len(open_) - 1)
         elif name == "br":
             put(Node("br", {}))
         elif name == "p" and not count["p"]:
@@ -224,6 +261,44 @@ def visible(node: Node) -> bool:
     return not ("style" in a and HIDDEN_STYLE.search(a["style"]))
 
 
+def text_of(node: Node) -> str:
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n is node or visible(n):
+            stack.extend(reversed(n.children))
+    return SPACE.sub(" ", "".join(out)).strip(" ")
+
+
+def shown_options(select: Node) -> list[str]:
+    """What a select shows: all of a list, the chosen option of a menu (the last selected one, or the first that can be chosen); other content as it is."""
+    options: list[tuple[Node, bool]] = []
+    out: list[str] = []
+    listed = "multiple" in select.attributes or _number(select.attributes.get("size"), 1) > 1
+    stack: list[tuple[Node | str, bool]] = [(c, False) for c in reversed(select.children)]
+    while stack:
+        node, disabled = stack.pop()
+        if isinstance(node, str):
+            if node.strip():
+                out.append(SPACE.sub(" ", node).strip(" "))
+            continue
+        disabled = disabled or "disabled" in node.attributes
+        if node.tag == "option":
+            options.append((node, disabled))
+            if listed and visible(node):
+                out.append(node.attributes.get("label") or text_of(node))
+        elif visible(node):
+            if listed and node.tag == "optgroup" and node.attributes.get("label"):
+                out.append(node.attributes["label"])
+            stack.extend((c, disabled) for c in reversed(node.children))
+    if not listed:
+        chosen = [n for n, _ in options if "selected" in n.attributes][-1:] or [n for n, disabled in options if not disabled][:1]
+        out += [n.attributes.get("label") or text_of(n) for n in chosen]
+    return out
+
+
 class Lines:
     """Lines being written: collapses white space, keeps margins and indentation."""
 
@@ -371,7 +446,8 @@ def flow(children: list[Node | str], tables: dict[int, list[str]]) -> list[str]:
                     out.block(parent.tag in SPACED and not (parent.tag in ("ul", "ol", "menu") and len(lists) > 1))
                     out.marker = "" if parent.tag == "li" else out.marker
                 out.indent = indent
-                keep -= parent.tag in ("pre", "xmp")
+                keep -= parent.tag in ("pre", "xmp", "textarea")
+                out.space |= parent.tag in ("textarea", "mtd")
                 if parent.tag in ("ul", "ol", "menu"):
                     lists.pop()
             continue
@@ -390,12 +466,23 @@ def flow(children: list[Node | str], tables: dict[int, list[str]]) -> list[str]:
         elif tag == "input":
             if node.attributes.get("type", "").lower() in ("submit", "button", "reset") and node.attributes.get("value"):
                 out.text(node.attributes["value"], False)
+        elif tag == "select":
+            shown = shown_options(node)
+            for text in shown:
+                if len(shown) > 1:
+                    out.block(False)
+                out.space = True
+                out.text(text, False)
+            if len(shown) > 1:
+                out.block(False)
+            out.space = True
         elif id(node) in tables:
             out.block(True)
             out.whole(tables[id(node)])
             out.block(True)
         else:
             before = out.indent
+            out.space |= tag in ("textarea", "mtd") or parent is not None and parent.tag == "mfrac"
             if tag in BLOCK:
                 nested = tag in ("ul", "ol", "menu") and bool(lists)
                 out.block(tag in SPACED and not nested)
@@ -410,9 +497,9 @@ def flow(children: list[Node | str], tables: dict[int, list[str]]) -> list[str]:
                 out.indent += " " * len(out.marker)
             elif tag in ("dd", "blockquote"):
                 out.indent += "  "
-            keep += tag in ("pre", "xmp")
+            keep += tag in ("pre", "xmp", "textarea")
             inner = node.children
-            if tag == "pre" and inner and isinstance(inner[0], str) and inner[0].startswith("\n"):
+            if tag in ("pre", "textarea") and inner and isinstance(inner[0], str) and inner[0].startswith("\n"):
                 inner = [inner[0][1:], *inner[1:]]
             stack.append((iter(inner), node, before))
     return out.result()
@@ -440,7 +527,8 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
     Null and empty pages, and pages without visible text, have an empty text;
     what is no HTML is text; an empty table gives no rows. Shown are all but
-    heads, scripts, styles, templates, embedded objects, form choices, comments
+    heads, scripts, styles, templates, embedded objects, the options of a menu that are not chosen, comments
+    names, descriptions and definitions within drawings, annotations of formulas,
     and what `hidden`, `display:none` or `visibility:hidden` hides.
     """
     return plain(pages, id_col, html_col).mapInArrow(_text_rows, "did long, text string").select(given_id().alias(id_col), "text")

@@ -311,6 +311,27 @@ def test_layout(page):
     assert H.page_text(page) == LAID_OUT[page]
 
 
+SEEN_INSIDE = {
+    "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>": "so x=2",
+    "<math><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>z": "1 2z",
+    "<map name=m><p>in</p><area></map>": "in",
+    "<svg><title>no</title><defs><text>no</text></defs><desc/><text>A</text><text>B</text></svg>c": "A\nB\nc",
+    "<svg><title/><text>A</text></svg>": "A",
+    "<svg><defs><p>out": "out",
+    "<svg/><title>no</title>a<desc>b</desc>": "ab",
+    "a<textarea>\nx\n y</textarea>b": "a x\n y b",
+    "a<select><option>x<option selected>y</select>b": "a y b",
+    "<select><optgroup disabled label=g><option>x<optgroup label=h><option>y<option>z</select>": "y",
+    "<select multiple><optgroup label=g><option>x<option label=L>y</select>b": "g\nx\nL\nb",
+    "<datalist><option>no</datalist>a": "a",
+}
+
+
+@pytest.mark.parametrize("page", SEEN_INSIDE)
+def test_text_inside_other_elements_is_kept(page):
+    assert H.page_text(page) == SEEN_INSIDE[page]
+
+
 UNTIDY_TABLES = {
     "<table><tr><form><td>x</td></form></tr></table>": "x",
     "<table><form><tr><td>x<td>y</form><tr><td>z</table>": "x  y\nz",
