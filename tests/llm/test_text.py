@@ -267,6 +267,15 @@ def test_pieces_equal_whole_texts():
     assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_equal_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh, enc, end = Tokenizer.from_file(JSON), PieceEncoder(JSON), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}a", f"a{end}", f"a  {end}{end} b", f"a\n{end}\n b", f" {end}", "<|endoftext", *odd_texts(500)]
+    got = [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts, None)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark):
     data = rows()
     enc = PieceEncoder(JSON)
