@@ -2,15 +2,15 @@
 
 Each word (match of the pattern) is a byte array; ranked merges are folded over
 it, lowest rank first and leftmost among equals, until no neighbouring pair has
-a rank. Only distinct words are folded: a task folds each word once and keeps a
-bounded number of results from batch to batch. Decoding concatenates the tokens'
-binary pieces.
+a rank. Only distinct words are folded, and a worker remembers a bounded number
+of results from batch to batch and task to task. Decoding concatenates the
+tokens' binary pieces.
 
 Two engines fold the same way. `fold_words` is the fold in Spark's higher-order
-functions with a literal rank map (bucketed by hash, as Spark searches a map
-from end to end); `encode` runs the fold in Python, as the first one took about
-400 microseconds a word and core, which is far beyond the budget of time for a
-corpus (see the README). Both map documents one by one: nothing is shuffled.
+functions with a literal rank map; `encode` folds all new words of a batch at
+once, a merge a word and round, by array operations, as the first one is far
+beyond the budget of time for a corpus (see the README). Both map documents one
+by one: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,18 +21,19 @@ import heapq
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, plain
-from kinmatch.llm.pieces import cut
+from kinmatch.llm.common import given_id, in_batches, joined, plain, steps, utf8
+from kinmatch.llm.pieces import AT_ONCE, PieceTable, ragged
 
-#: Pieces whose ids a Python worker remembers, at most.
-REMEMBERED = 150_000
-#: Words longer than this fold by a heap.
+#: Pieces whose ids a Python worker remembers: at least so many of the last ones, at most twice as many.
+REMEMBERED = 1_000_000
+#: Words longer than this fold one by one, by a heap.
 LONG = 96
-NO_RANK = 1 << 31
+NO_RANK = 1 << 30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,28 +41,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: the pair of lowest rank merges, again and again."""
-    if (whole := ranks.get(word)) is not None:
-        return [whole]
-    if len(word) > LONG:
-        return fold_long(word, ranks)
-    rank = ranks.get
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [rank(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
-    while pairs and (least := min(pairs)) < NO_RANK:
-        i = pairs.index(least)
-        parts[i] += parts.pop(i + 1)
-        del pairs[i]
-        if i:
-            pairs[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
-        if i < len(pairs):
-            pairs[i] = rank(parts[i] + parts[i + 1], NO_RANK)
-    return [ranks[p] for p in parts]
-
-
 def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same over linked parts with a heap of pairs: n log n for a word of n bytes."""
+    """Ids of one word, over linked parts with a heap of pairs: n log n for a word of n bytes."""
     n = len(word)
     end = list(range(1, n + 1))  # of the part that starts here; 0 once it is gone
     left = list(range(-1, n - 1))
@@ -86,6 +67,67 @@ def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merges:
+    """The pairs of ids that make a token, to fold many words at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        table = np.array(sorted(pairs) or [(-1, 0)], np.int64)
+        self.pairs, self.made = table[:, 0].copy(), table[:, 1].copy()
+        self.ranks, self.of_byte = ranks, np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], NO_RANK)
+
+    def fold(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each (not empty) word as little-endian 32-bit integers: in each round, every word's pair of lowest rank merges, the leftmost of equals."""
+        out: list[bytes] = [b""] * len(words)
+        many = []
+        for k, w in enumerate(words):
+            if (whole := self.ranks.get(w)) is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(w) > LONG:
+                out[k] = np.array(fold_long(w, self.ranks), "<u4").tobytes()
+            else:
+                many.append(k)
+        if not many:
+            return out
+        number = np.array(many)
+        size = np.array([len(words[k]) for k in many])
+        ids = self.of_byte[np.frombuffer(b"".join([words[k] for k in many]), np.uint8)]
+        pair = np.append(self.rank(ids[:-1], ids[1:]), NO_RANK)
+        pair[np.cumsum(size) - 1] = NO_RANK
+        while len(number):
+            first = np.cumsum(size) - size
+            best = np.minimum.reduceat(pair << 32 | np.arange(len(ids)), first)
+            merging = best >> 32 < NO_RANK
+            if not merging.all():  # words without a pair are done
+                raw, ends = ids.astype("<u4").tobytes(), (first + size) * 4
+                for k in np.flatnonzero(~merging).tolist():
+                    out[number[k]] = raw[4 * first[k] : ends[k]]
+                live = np.repeat(merging, size)
+                moved = np.cumsum(live) - 1
+                at = moved[best[merging] & (2**32 - 1)]
+                ids, pair, number, size, best = ids[live], pair[live], number[merging], size[merging], best[merging]
+            else:
+                at = best & (2**32 - 1)
+            if not len(number):
+                break
+            ids[at] = best >> 32
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            at = at - np.arange(len(at))  # one part before each place has gone, a word
+            ids, pair, size = ids[kept], pair[kept], size - 1
+            end = np.cumsum(size) - 1
+            pair[at] = self.rank(ids[at], ids[np.minimum(at + 1, len(ids) - 1)])
+            pair[end] = NO_RANK
+            before = at[at > end - size + 1] - 1
+            pair[before] = self.rank(ids[before], ids[before + 1])
+        return out
+
+
 class Codec:
     """A rank file and a word pattern; remembers pieces."""
 
@@ -93,29 +135,42 @@ class Codec:
         import regex
 
         self.ranks = read_ranks(path)
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.merges = Merges(self.ranks)
         self.words: Callable[[str], list[str]] = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        tokens = {r: t for t, r in self.ranks.items()}
+        self.tokens = Strings([tokens.get(r, b"") for r in range(max(tokens) + 1)])
+        self.decimals = Strings([b" %d" % r for r in range(max(tokens) + 1)])
+        self.pieces = PieceTable(self.learn, np.dtype("<u4"), REMEMBERED)
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; its distinct words are folded."""
+        found = list(map(self.words, pieces))
+        distinct = list(set().union(*found))
+        ids = dict(zip(distinct, self.merges.fold([w.encode() for w in distinct]), strict=True))
+        return [b"".join([ids[w] for w in ws]) for ws in found]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and each text's start (and the end)."""
+        ids, at = self.pieces.ids(*utf8(texts))
+        return ids.astype(np.int64), at
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        return self.tokens.joined(ids, at)
+
 
-    def ids(self, texts: list[str]) -> Iterator[list[int]]:
-        for text in texts:
-            first, *rest = cut(text)
-            used = set(rest)
-            new = used.difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:  # what this text uses stays
-                self.known = {p: self.known[p] for p in used.difference(new)}
-            for p in new:
-                self.known[p] = self.piece(" " + p)
-            out = self.piece(first)
-            for got in map(self.known.__getitem__, rest):
-                out += got
-            yield out
+class Strings:
+    """Byte strings by number, to be joined in many rows at once."""
 
-    def piece(self, piece: str) -> list[int]:
-        return [i for w in self.words(piece) for i in fold(w.encode(), self.ranks)]
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def joined(self, numbers: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Of numbers[at[k]:at[k + 1]], the strings one after another, for each k."""
+        size = self.size[numbers]
+        raw, cuts = ragged(self.data, self.start[numbers], size).tobytes(), np.concatenate([[0], np.cumsum(size)])[at].tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -131,26 +186,25 @@ def codec(path: str, pattern: str) -> Codec:
 def _encoded_rows(path: str, pattern: str, digests: bool, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = list(c.ids(part.column("txt").to_pylist()))
-                sha = lambda data: hashlib.sha256(data).hexdigest()
-                columns, names = [part.column("did")], ["did"]
+            _, offsets = utf8(batch.column("txt"))
+            for i, j in steps(offsets, AT_ONCE):
+                ids, at = c.ids(batch.column("txt").slice(i, j - i))
+                columns, names = [batch.column("did").slice(i, j - i)], ["did"]
                 if digests:
-                    columns += [pa.array(map(len, found), pa.int64()), pa.array([sha(" ".join(map(str, ids)).encode()) for ids in found], pa.string()), pa.array([sha(c.decode(ids)) for ids in found], pa.string())]
+                    columns += [pa.array(np.diff(at)), pa.array([sha(x[1:]) for x in c.decimals.joined(ids, at)], pa.string()), pa.array([sha(x) for x in c.decode(ids, at)], pa.string())]
                     names += ["n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(found, pa.list_(pa.int32()))], [*names, "ids"]
+                    columns, names = [*columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
-        c.known = {}  # a worker that does other work next needs the memory
 
     return rows
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and ids (array<int>). Null and empty texts have no ids; an empty table gives no rows."""
-    rows = plain(docs, id_col, text_col).mapInArrow(_encoded_rows(ranks_path, pattern, digests=False, with_ids=True), "did long, ids array<int>")
+    rows = plain(docs, id_col, text_col).transform(in_batches, _encoded_rows(ranks_path, pattern, digests=False, with_ids=True), "did long, ids array<int>")
     return rows.select(given_id().alias("doc_id"), "ids")
 
 
@@ -160,16 +214,20 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([c.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.binary())], ["did", "data"])
+            lists = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]
+            if any(len(x) and (x.min() < 0 or x.max() >= len(c.tokens.size) or not c.tokens.size[x].all()) for x in lists):
+                raise ValueError("an id without a token")
+            data = c.decode(joined(lists, np.int64), np.cumsum([0, *map(len, lists)]))
+            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(data, pa.binary())], ["did", "data"])
 
     source = encoded.select(F.col(id_col).cast("long").alias("did"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return source.mapInArrow(rows, "did long, data binary").select(F.col("did").alias("doc_id"), "data")
+    return source.transform(in_batches, rows, "did long, data binary").select(F.col("did").alias("doc_id"), "data")
 
 
 def round_trips(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """encode and decode in one map, with digests: doc_id, n_tokens, ids_sha256 (of decimal ids with single spaces between), decoded_sha256, and ids if asked for."""
     more = ", ids array<int>" * with_ids
-    rows = plain(docs, id_col, text_col).mapInArrow(_encoded_rows(ranks_path, pattern, True, with_ids), "did long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    rows = plain(docs, id_col, text_col).transform(in_batches, _encoded_rows(ranks_path, pattern, True, with_ids), "did long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
     return rows.select(given_id().alias("doc_id"), *rows.columns[1:])
 
 

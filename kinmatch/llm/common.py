@@ -9,15 +9,17 @@ inside by NO_ID, the largest long, sorts after all others and comes out as null.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os.path
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = 2**63 - 1
@@ -25,6 +27,8 @@ NO_ID = 2**63 - 1
 FILTER_BITS = 1 << 24
 #: Text that one vectorised step takes at most (a longer document is a step of its own).
 STEP_BYTES = 1 << 18
+#: Spark's setting for the bytes of a batch that goes to a Python worker, and its value where the session leaves it open.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -41,14 +45,42 @@ def text_key(text_col: str = "txt"):
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def in_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches of a few MB (an executor's memory doesn't follow the texts' lengths); at a task's end the worker gives back what it has freed."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # of glibc alone
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
+def tagged(docs: DataFrame, id_col: str, **keys: Column) -> DataFrame:
+    """Each row of docs as a struct `row`, with its id (did) and other keys beside it, so that no name in docs can clash; untagged() gives docs back."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), *(v.alias(k) for k, v in keys.items()))
+
+
+def untagged(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def given_id(col: str = "did"):
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs and tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset in a local run. On a cluster it must be set."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = f"{tempfile.gettempdir()}/checkpoints/kinmatch"
     spark.conf.set("spark.checkpoint.dir", f"file://{path}")
     return f"file://{path}"
@@ -149,3 +181,17 @@ def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         at = (hashes.view(np.uint64) >> np.uint64(s)) % n
         found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return found
+
+
+def split_by(source: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """source (did, tk, txt binary) in two: rows that may have a (did, tk) of keys, and rows that have none, which need no shuffle to meet them."""
+    held = source.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.xxhash64("did", "tk").alias("h")), "h"))
+
+    def part(inside: bool) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select(["did", "tk", "txt"]).filter(pa.array(may_hold(held.value, batch.column("h").to_numpy()) == inside))
+
+        return source.select("did", "tk", "txt", F.xxhash64("did", "tk").alias("h")).transform(in_batches, rows, "did long, tk long, txt binary")
+
+    return part(True), part(False)

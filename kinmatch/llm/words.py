@@ -41,6 +41,35 @@ ALNUM = table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)
 NONSPACE = table(bytes(x for x in range(256) if x != 0x20 and not 9 <= x <= 13))
 
 
+#: Positions in a word with a table of their own, and the bytes that are hashed at a time.
+NEAR, AT_ONCE = 256, 1 << 18
+_VALUES = mixed(mixed(np.arange(NEAR * 256, dtype=np.uint64) + np.uint64(BASE)))
+
+
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word low[start:end]: the sum of a scrambled value for each byte and its place in the word, so that the bytes' order and pattern leave no structure."""
+    sums = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(low), AT_ONCE):  # a sum may take parts of a word one by one
+        b = min(a + AT_ONCE, len(low))
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
+        if i >= j:
+            continue
+        first = np.maximum(starts[i:j], a)
+        size = np.minimum(ends[i:j], b) - first
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) + np.repeat(first - before, size)
+        value = np.repeat(starts[i:j], size)
+        np.subtract(place, value, out=value)
+        value <<= 8
+        value |= low[place]
+        if int(value[-1]) < 256 * NEAR and int(value.max()) < 256 * NEAR:
+            terms = _VALUES[value]
+        else:
+            terms = mixed(mixed(value.view(np.uint64) + np.uint64(BASE)))
+        sums[i:j] += np.add.reduceat(terms, before)
+    return mixed(sums + (ends - starts).astype(np.uint64))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (in data), 64-bit hash and text number of each word of the texts between offsets, A-Z lower-cased. Words end where their text ends."""
     base, text = int(offsets[0]), data[offsets[0] : offsets[-1]]
@@ -61,8 +90,6 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     np.logical_not(inside[1:], out=last[:-1])
     last[cuts[1:] - 1] = True
     ends = np.flatnonzero(inside & last) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * powers(INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+    hashes = word_hashes(low, starts, ends)
     doc = np.searchsorted(offsets, starts + base, "right") - 1
     return starts + base, ends + base, hashes, doc
