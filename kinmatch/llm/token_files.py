@@ -20,11 +20,13 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, new_path, plain, stored
-from kinmatch.llm.pieces import cut
+from kinmatch.llm.common import given_id, in_batches, joined, new_path, plain, steps, stored, utf8
+from kinmatch.llm.pieces import AT_ONCE, PieceTable, ragged
 
-#: Pieces that a Python worker remembers, at most.
-REMEMBERED = 900_000
+#: Pieces that a Python worker remembers: at least so many of the last ones, at most twice as many.
+REMEMBERED = 1_000_000
+#: Pieces that are encoded at a time.
+PIECES = 20_000
 MANIFEST = "shard int, name string, n_docs long, n_ids long"
 
 
@@ -36,35 +38,56 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}  # pieces that follow a space
-        self.first: dict[str, bytes] = {}  # pieces that start a text, from the last few texts
-
-    def learn(self, pieces: list[str], into: dict[str, bytes], space: str) -> None:
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            got = self.tokenizer.encode([space + p for p in part], is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(got.ids, self.kind), np.array(got.word_ids, np.int64)
-            at = np.searchsorted(word, np.arange(len(part) + 1)) * self.kind.itemsize
-            raw = ids.tobytes()
-            into.update((p, raw[a:b]) for p, a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True))
-
-    def encode(self, texts: list[str], end: int | None) -> Iterator[bytes]:
-        """The ids of each text, and then the end id, as bytes."""
-        last = b"" if end is None else self.kind.type(end).tobytes()
-        for i in range(0, len(texts), 512):
-            cuts = [cut(t) for t in texts[i : i + 512]]
-            starts = [c[0] for c in cuts]
-            for c in cuts:
-                del c[0]
-            self.first = {"": b""}
-            self.learn(list(set(starts) - {""}), self.first, "")
-            used = set().union(*cuts)
-            new = used.difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:  # what these texts use stays
-                self.known = {p: self.known[p] for p in used.difference(new)}
-            self.learn(list(new), self.known, " ")
-            for s, c in zip(starts, cuts, strict=True):
-                yield self.first[s] + b"".join(map(self.known.__getitem__, c)) + last
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.opens = np.array([names.get(i, "")[:1] in ("\u0120", "\u010a") for i in range(max(names) + 1)])  # tokens that start with a space or a line feed
+        self.pieces = PieceTable(self.learn, self.kind, REMEMBERED)
+
+    def parts(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        raw, at = ids.astype(self.kind).tobytes(), (at * self.kind.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """The ids of any pieces."""
+        got = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return self.parts(np.array(got.ids, np.int64), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(pieces) + 1)))
+
+    def split(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that start with a space or a line feed and have no other white space: encoded as one text and cut before such tokens."""
+        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, np.int64)
+        at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+        return self.parts(ids, at) if len(at) == len(pieces) + 1 and not at[0] else self.each(pieces)
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        plain = [k for k, p in enumerate(pieces) if p[0] in " \n" and len(p) > 1 and p.split() == [p[1:]]]
+        out: list[bytes] = [b""] * len(pieces)
+        for places, encode in ((plain, self.split), (sorted(set(range(len(pieces))).difference(plain)), self.each)):
+            for i in range(0, len(places), PIECES):
+                part = places[i : i + PIECES]
+                for k, raw in zip(part, encode([pieces[k] for k in part]), strict=True):
+                    out[k] = raw
+        return out
+
+    def encode(self, texts: pa.Array, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of the texts, each followed by the end id, and each one's number of ids, some texts at a time. Texts with one of the tokenizer's added tokens are encoded whole."""
+        data, offsets = utf8(texts)
+        for i, j in steps(offsets, AT_ONCE):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            raw = part.tobytes()
+            special = {k: texts[i + k].as_py() for k in range(j - i) if any(raw.find(a, at[k], at[k + 1]) >= 0 for a in self.added)} if any(a in raw for a in self.added) else {}
+            if special:
+                kept = np.ones(j - i, bool)
+                kept[list(special)] = False
+                size = np.where(kept, np.diff(at), 0)
+                part, at = ragged(part, at[:-1], size), np.concatenate([[0], np.cumsum(size)])
+            ids, starts = self.pieces.ids(part, at)
+            whole = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind) for k, t in special.items()}
+            ids = np.insert(ids, np.repeat([starts[k] for k in whole], [len(x) for x in whole.values()]).astype(np.int64), joined(list(whole.values()), self.kind)) if whole else ids
+            n = np.diff(starts)
+            n[list(whole)] = [len(x) for x in whole.values()]
+            if end is not None:
+                ids, n = np.insert(ids, np.cumsum(n), self.kind.type(end)), n + 1
+            yield ids, n
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -84,7 +107,7 @@ def _shard_rows(tokenizer_path: str, folder: str, end: int | None):
         from pyspark import TaskContext
 
         shard, name = TaskContext.get().partitionId(), None
-        ids, ends, at = [], [0], 0
+        ids, ends, at = [], [np.zeros(1, np.int64)], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -95,17 +118,16 @@ def _shard_rows(tokenizer_path: str, folder: str, end: int | None):
                 out = fs.open_output_stream(f"{root}/{name}.tokens")
                 enc = encoder(tokenizer_path)
             ids.append(batch.column("did").to_numpy())
-            texts = batch.column("txt").to_pylist()
-            for raw in enc.encode(texts, end):
-                out.write(raw)
-                at += len(raw) // enc.kind.itemsize
-                ends.append(at)
+            for raw, n in enc.encode(batch.column("txt"), end):
+                out.write(raw.tobytes())
+                ends.append(at + np.cumsum(n))
+                at += len(raw)
         if name is not None:
             out.close()
-            for kind, values in (("offsets", ends), ("ids", np.concatenate(ids))):
+            for kind, values in (("offsets", np.concatenate(ends)), ("ids", np.concatenate(ids))):
                 with fs.open_output_stream(f"{root}/{name}.{kind}") as f:
                     f.write(np.asarray(values, "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(ends) - 1], pa.int64()), pa.array([at], pa.int64())], ["shard", "name", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([sum(map(len, ids))], pa.int64()), pa.array([at], pa.int64())], ["shard", "name", "n_docs", "n_ids"])
 
     return rows
 
@@ -117,7 +139,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     """
     folder = folder or new_path(docs.sparkSession, "tokens")
     ordered = plain(docs, id_col, text_col).repartitionByRange("did").sortWithinPartitions("did", F.xxhash64("txt"))
-    manifest = stored(ordered.mapInArrow(_shard_rows(tokenizer_path, folder, end), MANIFEST), "token-manifest")
+    manifest = stored(ordered.transform(in_batches, _shard_rows(tokenizer_path, folder, end), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), folder
 
@@ -154,7 +176,7 @@ def read_tokens(manifest: DataFrame, folder: str, wide: bool = False, with_ids:
     """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as 32-bit integers), and ids if asked for. wide: the files hold 32-bit integers."""
     shards = manifest.repartition("name").select("name", "base")
     schema = "did long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    rows = shards.mapInArrow(_document_rows(folder, "<u4" if wide else "<u2", with_ids), schema)
+    rows = shards.transform(in_batches, _document_rows(folder, "<u4" if wide else "<u2", with_ids), schema)
     return rows.select(given_id().alias("doc_id"), *rows.columns[1:])
 
 

@@ -9,13 +9,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinmatch.llm import byte_bpe, pii
+from kinmatch.llm import byte_bpe, pieces, pii
 from kinmatch.llm import html_text as H
 from kinmatch.llm.decontamination import FMIndex, WaveletMatrix, contamination, keep_clean, merged, suffix_array
-from kinmatch.llm.pieces import cut
+from kinmatch.llm.pieces import piece_starts
 from kinmatch.llm.quality import keep_good, passes, quality
 from kinmatch.llm.token_files import PieceEncoder, read_tokens, write_tokens
 from tests.llm.cases import empty, prose, rows, table
@@ -218,24 +219,55 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
 
 
-def test_cut_keeps_all():
-    assert all(" ".join(cut(t)) == t for t in odd_texts(3000))
+def lists(ids, at):
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def encoded(enc, texts):
+    """The ids of each text by a PieceEncoder, without an end id."""
+    return [x for ids, n in enc.encode(pa.array(texts, pa.string()), None) for x in lists(ids, np.concatenate([[0], np.cumsum(n)]))]
+
+
+def test_pieces_start_at_words():
+    for t in odd_texts(3000):
+        data = np.frombuffer(t.encode(), np.uint8)
+        starts = piece_starts(data, np.array([0, len(data)]))
+        assert starts[:1].tolist() == [0][: len(data)]
+        for at in starts[1:].tolist():
+            assert data[at] in b" \n" and not t.encode()[at + 1 :].decode()[0].isspace()
 
 
 def test_bpe_equals_the_library():
     codec, ref = byte_bpe.Codec(RANKS, P.PATTERN), reference_encoding()
     r = random.Random(3)
-    texts = odd_texts(5000) + ["".join(r.choice("abcé") for _ in range(3000)), "a" * 2000, "=-" * 1000]
-    got = list(codec.ids(texts))
-    assert got == [ref.encode_ordinary(t) for t in texts]
-    assert all(codec.decode(ids) == t.encode() for ids, t in zip(got, texts, strict=True))
+    texts = odd_texts(5000) + ["".join(r.choice("abcé") for _ in range(3000)), "a" * 2000, "=-" * 1000, " \n" * 500, "", "x\ny\n"]
+    got = codec.ids(pa.array(texts))
+    assert lists(*got) == [ref.encode_ordinary(t) for t in texts]
+    assert codec.decode(*got) == [t.encode() for t in texts]
+    assert lists(*codec.ids(pa.array([], pa.string()))) == []
 
 
 def test_bpe_forgets_without_harm(monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 50)
     codec, ref = byte_bpe.Codec(RANKS, P.PATTERN), reference_encoding()
-    texts = [prose(i, 100) for i in range(20)]
-    assert list(codec.ids(texts)) == [ref.encode_ordinary(t) for t in texts]
+    for i in range(12):
+        texts = [prose(i + j, 100) for j in range(3)] * 2
+        assert lists(*codec.ids(pa.array(texts))) == [ref.encode_ordinary(t) for t in texts]
+
+
+def test_pieces_with_equal_hashes(monkeypatch):
+    """Pieces of different bytes that share a hash across batches are told apart."""
+    monkeypatch.setattr(pieces, "word_hashes", lambda data, starts, ends: (data[starts].astype(np.uint64) << np.uint64(8)) + (ends - starts).astype(np.uint64))
+    codec, ref = byte_bpe.Codec(RANKS, P.PATTERN), reference_encoding()
+    for t in ("ab cd", "ac ce", "ab cd", "ad cd"):
+        assert lists(*codec.ids(pa.array([t]))) == [ref.encode_ordinary(t)]
+
+
+def test_long_text_in_parts(monkeypatch):
+    monkeypatch.setattr(pieces, "AT_ONCE", 100)
+    codec, ref = byte_bpe.Codec(RANKS, P.PATTERN), reference_encoding()
+    texts = ["", prose(1, 400), "", "x" * 500 + " " + prose(2, 30), ""]
+    assert lists(*codec.ids(pa.array(texts))) == [ref.encode_ordinary(t) for t in texts]
 
 
 def test_bpe_frames(spark):
@@ -254,16 +286,17 @@ def test_bpe_frames(spark):
 
 
 def test_fold_in_expressions_equals_the_other(spark):
-    ranks = byte_bpe.read_ranks(RANKS)
+    ranks, ref = byte_bpe.read_ranks(RANKS), reference_encoding()
     words = ["", "a", "the", " morning", "zzzzzz", "naïve", "中文", "unbelievable", " 12345", "...", "mississippi"]
     got = byte_bpe.fold_words(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()
-    assert {r.word: r.ids for r in got} == {w: byte_bpe.fold(w.encode(), ranks) if w else [] for w in words}
+    assert {r.word: r.ids for r in got} == {w: ref.encode_ordinary(w) for w in words}
 
 
 def test_pieces_equal_whole_texts():
     enc = PieceEncoder(JSON)
     texts = odd_texts(5000)
-    got = [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts, None)]
+    got = encoded(enc, texts)
+    assert encoded(enc, []) == []
     assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -272,7 +305,7 @@ def test_pieces_equal_a_fresh_tokenizer():
 
     fresh, enc, end = Tokenizer.from_file(JSON), PieceEncoder(JSON), "<|endoftext|>"
     texts = [f"a {end} b", end, f"{end}a", f"a{end}", f"a  {end}{end} b", f"a\n{end}\n b", f" {end}", "<|endoftext", *odd_texts(500)]
-    got = [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts, None)]
+    got = encoded(enc, texts)
     assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
 
 
