@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinmatch.functions.unicode import nfkc
+
 # Legal suffixes, dropped from the end of a name only.
 LEGAL_SUFFIXES = """
 inc incorporated llc ltd limited corp corporation co company plc gmbh pvt pte
@@ -72,8 +74,8 @@ def country_code(c: Column) -> Column:
 
 
 def address_tokens(address: Column, least: int = TOKEN_MIN) -> Column:
-    """Distinct address words with a letter, of at least `least` characters, without the skipped ones."""
-    words = F.split(plain_words(address), " ")
+    """Distinct words of the lower-cased address in its compatibility form, with a letter, of at least `least` characters, without the skipped ones."""
+    words = F.split(F.trim(F.regexp_replace(nfkc(F.lower(F.coalesce(address, F.lit("")))), OTHER, " ")), " ")
     kept = F.filter(words, lambda t: (F.length(t) >= least) & t.rlike("[^0-9]") & ~t.isin(*sorted(set(ADDRESS_SKIP))))
     return F.array_distinct(kept)
 

@@ -40,4 +40,5 @@ def fold_latin_accents(s: Column) -> Column:
 
 
 def nfkc(s: Column) -> Column:
-    return _nfkc(s)
+    """The compatibility form NFKC. ASCII strings are in it already and stay on the JVM's side."""
+    return F.coalesce(_nfkc(F.when(s.rlike("[^\\x00-\\x7F]"), s)), s)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinmatch.functions import fuzzy
 from kinmatch.functions import lineage_a as A
 from kinmatch.functions import lineage_b as B
+from kinmatch.operators.state_maps import canonical_state
 
 
 def _flag(c: Column) -> Column:
@@ -49,6 +50,7 @@ def pair_features_a(l: Column, r: Column, grams: tuple[Column, Column], prefixes
     }
 
 
+# The first lineage's features, in the order that models are trained in.
 FEATURES_A = "name_exact name_jacc name_tri name_pre3 addr_jacc pin_eq country_eq len_ratio tok_contain sig_eq first_tok_eq last_tok_eq lcp_ratio num_tok_jacc addr_num_eq sub_str min_len_log addr_len_ratio tok_min_log tok_pre4_jacc".split()
 
 
@@ -59,18 +61,27 @@ def with_features_a(pairs: DataFrame) -> DataFrame:
     return once.select("*", *[c.cast("double").alias(k) for k, c in features.items()]).drop("l", "r", "_g1", "_g2", "_p1", "_p2")
 
 
-def records_b(records: DataFrame, fold: bool = True) -> DataFrame:
-    """entity_id, src, country and what the second lineage compares: nt, at, num, state, script, name, no_address."""
+def records_b(records: DataFrame, fold: bool = True, clusters: DataFrame | None = None) -> DataFrame:
+    """entity_id, src, country and what the second lineage compares: nt, at, num, state (by its name in the state maps), script, name, no_address."""
+    state = F.coalesce(B.last_components(F.col("business_address"))["state"], F.lit(""))
+    records = records.withColumn("state", state) if clusters is None else canonical_state(records, clusters)
     name, address = F.col("business_name"), F.col("business_address")
     at = B.address_tokens(address, fold)
     return records.select(
         "entity_id", "ord", "src", "country", F.array_distinct(B.name_tokens(name, fold)).alias("nt"), F.array_distinct(at).alias("at"), F.array_distinct(B.numeric_tokens(at)).alias("num"),
-        F.coalesce(B.last_components(address)["state"], F.lit("")).alias("state"), B.dominant_script(name).alias("script"), B.basic_clean(name, fold).alias("name"), (F.trim(F.coalesce(address, F.lit(""))) == "").alias("no_address"),
+        "state", B.dominant_script(name).alias("script"), B.basic_clean(name, fold).alias("name"), (F.trim(F.coalesce(address, F.lit(""))) == "").alias("no_address"),
     )
 
 
-def with_features_b(pairs: DataFrame, records: DataFrame, idf: DataFrame, fuzzy_ratios: bool = True) -> DataFrame:
-    """Retrieved pairs (s1_id, tgt_id, rank, block_score) with the 23 features; pairs with an unknown side are dropped.
+# The second lineage's features that are expressions, and the three fuzzy ones.
+FEATURES_B = "name_jaccard name_containment name_dice name_exact addr_jaccard addr_containment addr_dice num_overlap num_contradict state_agree script_match either_native tgt_addr_empty max_shared_name_idf max_shared_addr_idf n_shared_name n_shared_addr block_score block_rank is_s3".split()
+FUZZY_B = "name_token_set_ratio name_partial_ratio addr_token_set_ratio".split()
+
+
+def with_features_b(pairs: DataFrame, records: DataFrame, idf: DataFrame, fuzzy_ratios: bool = True, truth: DataFrame | None = None) -> DataFrame:
+    """Retrieved pairs (s1_id, tgt_id, rank, block_score) with the 23 features, and with truth (s1_id, other_id) their label; pairs with an unknown side are dropped.
+
+    pairs and records are used several times, so they should be stored tables.
 
     The highest shared IDF comes from exploding shared tokens and joining the
     vocabulary, so the vocabulary is never carried with the pairs.
@@ -95,4 +106,8 @@ def with_features_b(pairs: DataFrame, records: DataFrame, idf: DataFrame, fuzzy_
     if fuzzy_ratios:
         joined = lambda a: F.array_join(F.array_sort(a), " ")
         columns |= {"name_token_set_ratio": fuzzy.token_set_column(l["name"], r["name"]), "name_partial_ratio": fuzzy.partial_column(l["name"], r["name"]), "addr_token_set_ratio": fuzzy.token_set_column(joined(l["at"]), joined(r["at"]))}
-    return both.select("s1_id", "tgt_id", *[c.cast("double").alias(k.removesuffix("_f")) for k, c in columns.items()])
+    out = both.select("s1_id", "tgt_id", *[c.cast("double").alias(k.removesuffix("_f")) for k, c in columns.items()])
+    if truth is None:
+        return out
+    known = truth.select("s1_id", F.col("other_id").alias("tgt_id")).distinct().withColumn("label", F.lit(1))
+    return out.join(known, ["s1_id", "tgt_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.sources.records import numbered
+
 GATES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
 
 
@@ -31,6 +33,15 @@ def error_breakdown(counts: DataFrame) -> DataFrame:
     return counts.agg(F.count_if(m == 0).alias("singletons"), F.count_if((m == k) & (k == t)).alias("perfect"), F.count_if((m == 0) & (k > 0)).alias("false_merge"), F.count_if((m > 0) & (k == 0)).alias("missed"))
 
 
+def percentiles(rows: DataFrame, column: str, parts: int = 100) -> DataFrame:
+    """(share, value): the exact percentiles 0 to `parts` of a column, with linear interpolation. Ranges are sorted in parallel, and only the rows at the wanted places, two a percentile, meet."""
+    n = numbered(rows.select(F.col(column).cast("double").alias("v")).filter("v is not null"), "v")
+    at = F.transform(F.sequence(F.lit(0), F.lit(parts)), lambda i: i / F.lit(parts) * (F.col("total") - 1))
+    wanted = F.filter(F.transform(at, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: (F.floor(p["x"]) == F.col("nth")) | (F.ceil(p["x"]) == F.col("nth")))
+    ends = n.select("nth", "v", F.explode(wanted).alias("p")).groupBy(F.col("p.i").alias("i"), F.col("p.x").alias("x")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    return ends.select((F.col("i") / parts).alias("share"), (F.col("low") + (F.col("high") - F.col("low")) * (F.col("x") - F.floor("x"))).alias("value"))
+
+
 def threshold_sweep(entities: DataFrame, truth: DataFrame, scores: DataFrame) -> DataFrame:
     """(threshold, macro_f05) at the distinct rounded percentiles of scores (s1_id, other_id, score).
 
@@ -38,7 +49,7 @@ def threshold_sweep(entities: DataFrame, truth: DataFrame, scores: DataFrame) ->
     pairs add up per entity and threshold before they are averaged; entities
     without a scored pair enter through their number alone.
     """
-    cuts = scores.agg(F.percentile("score", F.array(*[F.lit(i / 100) for i in range(101)])).alias("q")).select(F.array_distinct(F.transform("q", lambda x: F.round(x, 4))).alias("cuts"))
+    cuts = percentiles(scores, "score").agg(F.array_sort(F.collect_set(F.round("value", 4))).alias("cuts"))
     known = truth.select("s1_id", "other_id").distinct().withColumn("y", F.lit(1))
     rows = scores.join(known, ["s1_id", "other_id"], "left").select("s1_id", "score", F.coalesce("y", F.lit(0)).alias("y"))
     reached = rows.join(F.broadcast(cuts), F.lit(True)).select("s1_id", "y", F.explode(F.filter("cuts", lambda c: c <= F.col("score"))).alias("threshold"))

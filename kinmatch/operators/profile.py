@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.sources.records import numbered
+
 
 def profile_source(records: DataFrame) -> DataFrame:
     """One row: counts, blank shares, length percentiles and non-ASCII share, in a single aggregation over all rows."""
@@ -29,15 +31,6 @@ def stride(total: Column, target: int) -> Column:
     return F.greatest(F.lit(1), F.floor(total / max(1, target)))
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with nth from 0 in the order of a column, and total; ranges are sorted in parallel, and only their sizes are summed."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(F.broadcast(before), "_part").join(F.broadcast(rows.agg(F.count("*").alias("total"))), F.lit(True)).withColumn("nth", F.col("_nth") - 1 + F.col("_before")).drop("_part", "_nth", "_n", "_before")
-
-
 def stride_sample(rows: DataFrame, target: int, order: str = "ord") -> DataFrame:
     """Every k-th row for about `target` rows (a sampling operator)."""
     return numbered(rows, order).filter(F.col("nth") % stride(F.col("total"), target) == 0).drop("nth", "total")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions import lineage_b as B
+from kinmatch.sources.settled import shared_dir
 
 MOST_SURFACES, MOST_OF_CITY, SHARED = 201, 50, 2
 
@@ -25,6 +26,8 @@ def state_clusters(counts: DataFrame, shared: int = SHARED) -> DataFrame:
     the input; the others stand for themselves. Labels spread over links until
     nothing changes; each round starts from the surfaces kept by checkpoint().
     """
+    if counts.sparkSession.sparkContext.getCheckpointDir() is None:
+        counts.sparkSession.sparkContext.setCheckpointDir(shared_dir(counts.sparkSession))
     support = counts.groupBy("country", "state").agg(F.sum("n").alias("support"))
     nth = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("support"), "state"))
     least = support.withColumn("nth", nth).filter(F.col("nth") <= MOST_SURFACES).groupBy("country").agg(F.greatest(F.lit(shared), F.min("support")).alias("least"))
@@ -44,3 +47,20 @@ def state_clusters(counts: DataFrame, shared: int = SHARED) -> DataFrame:
     named = support.join(labels, ["country", "state"], "left").withColumn("label", F.coalesce("label", "state"))
     best = F.first("state").over(Window.partitionBy("country", "label").orderBy(F.desc("support"), "state"))
     return named.select("country", F.col("state").alias("surface"), best.alias("canon"), "support")
+
+
+def canonical_state(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """records with column state: the last comma component of the address by its cluster's name, as it is where no cluster has it, empty where there is none."""
+    surface = F.coalesce(B.last_components(F.col("business_address"))["state"], F.lit(""))
+    names = clusters.filter("surface <> canon").select("country", F.col("surface").alias("_surface"), "canon")  # a few hundred a country at most
+    out = records.withColumn("_surface", surface).join(names, ["country", "_surface"], "left")
+    return out.withColumn("state", F.coalesce("canon", "_surface")).drop("_surface", "canon")
+
+
+def save_maps(clusters: DataFrame, path: str) -> None:
+    """(country, surface, canon, support), a file a country."""
+    clusters.write.mode("overwrite").partitionBy("country").json(path)
+
+
+def load_maps(spark, path: str) -> DataFrame:
+    return spark.read.schema("country string, surface string, canon string, support long").json(path)

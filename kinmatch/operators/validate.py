@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinmatch.sources.settled import settled
+
 RESULT_HEADER = ("source1_entity_id", "matched_entity_ids")
 CANDIDATE_HEADER = ("source1_entity_id", "candidate_entity_ids")
 SHOWN = 5
-ERRORS = ("malformed", "duplicate_s1", "repeated_id", "self_match", "bad_prefix", "unknown_id", "missing_s1", "extra_s1")
+ERRORS = ("malformed", "duplicate_s1", "repeated_id", "self_match", "bad_prefix", "unknown_id", "missing_s1", "extra_s1", "header")
+WARNINGS = ("not_candidate", "no_candidates")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +75,37 @@ def not_candidates(results: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def report(found: DataFrame, shown: int = SHOWN) -> DataFrame:
     """(rule, severity, n, examples): the number of violations and the first few distinct examples in order, kept small by a second grouping before they are listed."""
-    per = found.groupBy("rule", "example").agg(F.count("*").alias("n")).cache()
+    per = found.groupBy("rule", "example").agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy("rule").orderBy("example"))
     counts = per.groupBy("rule").agg(F.sum("n").alias("n"))
     first = per.withColumn("nth", nth).filter(F.col("nth") <= shown).groupBy("rule").agg(F.array_join(F.sort_array(F.collect_list("example")), ";").alias("examples"))
-    return counts.join(first, "rule").select("rule", F.when(F.col("rule") == "not_candidate", "warning").otherwise("error").alias("severity"), "n", "examples")
+    return counts.join(first, "rule").select("rule", F.when(F.col("rule").isin(*WARNINGS), "warning").otherwise("error").alias("severity"), "n", "examples")
+
+
+def validated(spark: SparkSession, results_path: str, candidates_path: str | None, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The report on written files, their headers included; a candidate file that is not there is a warning."""
+
+    def lines(path: str, header: tuple[str, str]) -> tuple[DataFrame, list[str]]:
+        got = read_lines(spark, path)
+        heads = got.filter(F.lower(F.col("line")).startswith(header[0])).select("line").distinct().limit(SHOWN).collect()
+        wrong = [e for r in heads for e in header_errors(r.line, header)] if heads else ["no header"] if not got.isEmpty() else ["empty file"]
+        return got.filter(~F.lower(F.col("line")).startswith(header[0])), wrong
+
+    results, wrong = lines(results_path, RESULT_HEADER)
+    rows = settled(parsed(results), "results")
+    found = violations(rows, required, known)
+    try:
+        candidates, more = lines(candidates_path, CANDIDATE_HEADER) if candidates_path else (None, [])
+        wrong = wrong + more
+    except AnalysisException:
+        candidates = None
+    if candidates is None:
+        found = found.unionByName(spark.sql("SELECT 'no_candidates' AS rule, 'the candidate file is missing' AS example"))
+    else:
+        found = found.unionByName(not_candidates(rows, settled(parsed(candidates), "candidates")))
+    for w in wrong:
+        found = found.unionByName(spark.range(1).select(F.lit("header").alias("rule"), F.lit(w).alias("example")))
+    return report(found)
 
 
 def exit_code(summary: DataFrame) -> int:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from kinmatch.functions.lineage_a import ADDRESS_SKIP, LEGAL_SUFFIXES
 from kinmatch.functions.lineage_b import SCRIPTS
 from kinmatch.operators.features import FEATURES_A
@@ -39,8 +42,22 @@ def char4(n: str) -> str:
     return f"CASE WHEN length({n}) >= 4 THEN {grams(n, 4)} ELSE {EMPTY} END"
 
 
+# Characters whose compatibility form has letters or digits of the key alphabet: one for one, and to several.
+_COMPATIBLE = {c: k for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if (k := unicodedata.normalize("NFKC", c)) != unicodedata.normalize("NFC", c) and re.search("[0-9a-z\u0900-\u097f]", k)}
+SINGLE = {c: k for c, k in _COMPATIBLE.items() if len(k) == 1}
+SEVERAL = {c: k for c, k in _COMPATIBLE.items() if len(k) > 1}
+
+
+def nfkc(x: str) -> str:
+    """As far as keys can tell; the few texts with a character of SEVERAL are taken apart."""
+    y = f"nfc_normalize(translate({x}, '{''.join(SINGLE)}', '{''.join(SINGLE.values())}'))"
+    spread = ", ".join(f"'{c}': '{k}'" for c, k in SEVERAL.items())
+    return f"CASE WHEN regexp_matches({x}, '[{''.join(SEVERAL)}]') THEN nfc_normalize(array_to_string(list_transform(string_split({y}, ''), lambda c: coalesce(map_extract(MAP {{{spread}}}, c)[1], c)), '')) ELSE {y} END"
+
+
 def address(x: str) -> str:
-    return f"list_distinct(list_filter(string_split({words(x)}, ' '), lambda t: length(t) >= 4 AND regexp_matches(t, '[^0-9]') AND t NOT IN ({SKIP})))"
+    plain = f"trim(regexp_replace({nfkc(f'lower({x})')}, '[^0-9a-z{DEVANAGARI}]+', ' ', 'g'))"
+    return f"list_distinct(list_filter(string_split({plain}, ' '), lambda t: length(t) >= 4 AND regexp_matches(t, '[^0-9]') AND t NOT IN ({SKIP})))"
 
 
 def pins(x: str) -> str:
@@ -85,6 +102,8 @@ def numbers(ts: str) -> str:
     return f"list_transform(list_filter({ts}, lambda t: regexp_matches(t, '[0-9]')), lambda t: regexp_replace(t, '^0+([0-9])', '\\1'))"
 
 
+# crc32 of the ASCII string $, bit by bit.
+CRC = "xor(4294967295::UINTEGER, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split($, ''), lambda c: ord(c)::BIGINT)), lambda r, b: list_reduce(list_concat([xor(r, b)], range(0, 8)), lambda q, k: CASE WHEN q % 2 = 1 THEN xor(q // 2, 3988292384::BIGINT) ELSE q // 2 END))::UINTEGER)::BIGINT"
 REC = """rec AS (SELECT doc_id AS ord, 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, doc_id % 3 + 1 AS src, split_part(coalesce(text, ''), chr(10), 1) AS name,
   CASE WHEN strpos(coalesce(text, ''), chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS address, coalesce(lang, '') AS country, coalesce(text, '') AS text FROM documents)"""
 TRUTH = """same AS (SELECT src, id, lower(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS k FROM rec),
@@ -179,12 +198,12 @@ def features_b_sql() -> str:
         "num_overlap": j("l.num", "r.num"), "num_contradict": flag(f"len(l.num) > 0 AND len(r.num) > 0 AND {shared('l.num', 'r.num')} = 0"), "state_agree": flag("l.state <> '' AND l.state = r.state"), "script_match": flag("true"), "either_native": flag("false"), "tgt_addr_empty": flag("trim(r.address) = ''"),
         "max_shared_name_idf": "coalesce(bn, 0.0)", "max_shared_addr_idf": "coalesce(ba, 0.0)", "n_shared_name": shared("l.nt", "r.nt"), "n_shared_addr": shared("l.at", "r.at"), "block_score": "block_score", "block_rank": "rank", "is_s3": flag("starts_with(top.tgt_id, 'S3-')"),
     }
-    state = f"""st0 AS ({last_components("address")} FROM rb), st AS (SELECT *, CASE WHEN city0 <> '' AND state0 <> '' THEN state0 ELSE '' END AS state FROM st0),
+    state = f"""st AS (SELECT rb.*, coalesce(canon, surface, '') AS state FROM rb LEFT JOIN canonical USING (id)),
 best AS (SELECT s1_id, tgt_id, max(CASE WHEN kind = 'n' THEN idf END) AS bn, max(CASE WHEN kind = 'a' THEN idf END) AS ba FROM
   (SELECT s1_id, tgt_id, 'n' AS kind, unnest(list_intersect(l.nt, r.nt)) AS token FROM top JOIN rb l ON l.id = s1_id JOIN rb r ON r.id = tgt_id
    UNION ALL SELECT s1_id, tgt_id, 'a', unnest(list_intersect(l.at, r.at)) FROM top JOIN rb l ON l.id = s1_id JOIN rb r ON r.id = tgt_id) JOIN vocab USING (token) GROUP BY ALL)"""
     select = ", ".join(f"round(({v})::DOUBLE, 6) AS {k}" for k, v in columns.items())
-    return query([REC, RECB, RETRIEVED, state], f"SELECT top.s1_id, top.tgt_id, {select} FROM top JOIN st l ON l.id = top.s1_id JOIN st r ON r.id = top.tgt_id LEFT JOIN best ON best.s1_id = top.s1_id AND best.tgt_id = top.tgt_id")
+    return query([REC, RECB, RETRIEVED, STATES, CANONICAL, TRUTH, state], f"SELECT top.s1_id, top.tgt_id, {select}, (EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = top.s1_id AND t.other_id = top.tgt_id))::INT AS label FROM top JOIN st l ON l.id = top.s1_id JOIN st r ON r.id = top.tgt_id LEFT JOIN best ON best.s1_id = top.s1_id AND best.tgt_id = top.tgt_id", recursive=True)
 
 
 STATES = f"""st0 AS ({last_components("address")} FROM rec),
@@ -197,6 +216,9 @@ ln AS (SELECT a.country, a.state AS a, b.state AS b FROM pl a JOIN pl b ON a.cou
 reach AS (SELECT country, state AS a, state AS b FROM sup UNION SELECT reach.country, reach.a, ln.b FROM reach JOIN ln ON ln.country = reach.country AND ln.a = reach.b),
 lab AS (SELECT country, a AS state, min(b) AS label FROM reach GROUP BY ALL)"""
 
+CANONICAL = """named AS (SELECT country, state AS surface, first_value(state) OVER (PARTITION BY country, label ORDER BY support DESC, state) AS canon, support FROM sup JOIN lab USING (country, state)),
+canonical AS (SELECT id, st0.country, CASE WHEN city0 <> '' AND state0 <> '' THEN state0 END AS surface, canon FROM st0 LEFT JOIN named ON named.country = st0.country AND surface = state0 AND city0 <> '' AND state0 <> '')"""
+
 _script = " ".join(f"WHEN n_{k} = best THEN '{k}'" for k in SCRIPTS)
 _counts = ", ".join(f"length(regexp_replace(l, '[^\\x{{{ord(a):04x}}}-\\x{{{ord(b):04x}}}]', '', 'g')) AS n_{k}" for k, (a, b) in SCRIPTS.items())
 _best = ", ".join(f"n_{k}" for k in SCRIPTS)
@@ -265,7 +287,12 @@ SQL = {
     "idf_vocab": query([REC, RECB], "SELECT token, df, round(idf, 6) AS idf FROM vocab"),
     "idf_retrieval_topk": query([REC, RECB, RETRIEVED], "SELECT s1_id, tgt_id, round(block_score, 6) AS block_score, rank::INT AS rank FROM top"),
     "pair_features_b": features_b_sql(),
-    "state_clusters": query([REC, STATES], "SELECT country, state AS surface, first_value(state) OVER (PARTITION BY country, label ORDER BY support DESC, state) AS canon, support FROM sup JOIN lab USING (country, state)", recursive=True),
+    "state_clusters": query([REC, STATES, CANONICAL], "SELECT country, surface, canon, support FROM named", recursive=True),
+    "canonical_states": query([REC, STATES, CANONICAL], "SELECT id AS entity_id, country, coalesce(canon, surface, '') AS state FROM canonical", recursive=True),
+    "training_split": query(
+        [*BLOCKED, TRUTH, f"lp AS (SELECT f.s1_id, f.other_id, (t.s1_id IS NOT NULL)::INT AS label, {CRC.replace('$', 'f.s1_id')} % 5 <> 0 AS trained FROM final f LEFT JOIN truth t ON t.s1_id = f.s1_id AND t.other_id = f.other_id)"],
+        "SELECT trained, label, count(*) AS n, count(DISTINCT s1_id) AS n_entities FROM lp GROUP BY ALL",
+    ),
     "global_threshold": query([*BLOCKED, SCORES], f"SELECT s1_id, other_id, round(score, 6) AS score FROM scores WHERE score >= {THRESHOLD}"),
     "accept_rule": query([*BLOCKED, SCORES, _accepted], "SELECT s1_id, other_id AS tgt_id, round(score, 6) AS score FROM acc"),
     "one_owner": query([*BLOCKED, SCORES, _accepted], "SELECT s1_id, other_id AS tgt_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY other_id ORDER BY score DESC, s1_ord) AS o FROM acc) WHERE o = 1"),

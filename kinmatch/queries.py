@@ -22,6 +22,7 @@ from kinmatch.operators import retrieval as R
 from kinmatch.operators import state_maps as S
 from kinmatch.operators import validate as V
 from kinmatch.sources.records import document_records, document_truth
+from kinmatch.sources.settled import settled
 
 PARAMS = K.BlockingParams(token_cap=10, prefix_cap=10, address_cap=10, post_budget=20, pre_collect=10, collect=5, gate=3.0, strong=6.0, budget=2)
 TOP_K, TOKEN_CAP = 5, 40
@@ -31,7 +32,7 @@ THRESHOLD, FLOOR, MOST = 0.5, 0.3, 11
 SAMPLES = [
     ("x1", "Acme Pvt. Ltd."), ("x2", "Limited Edition Games"), ("x3", "Holdings Inc"), ("x4", "Café Noir SARL"), ("x5", "A&B Tools"), ("x6", "गुजरात Ltd"), ("x7", ""), ("x8", "12 Main St 560001-1234, 99999, 560001"),
     ("x9", "1234567"), ("x10", "10001 20002 30003 40004"), ("x11", "northernsilver.com"), ("x12", "@smithveterinary"), ("x13", "00203 Baker Street, Springfield, IL"), ("x14", "458-a Nagar Road, Pune, MH"),
-    ("x15", "Deltasol dba Ajmer Lining"), ("x16", "O’Neil t/a big-house.co.uk"), ("x17", "ગુજરાત silver"), ("x18", "தமிழ்"), ("x19", "a"), ("x20", "007 000 0 12ab"),
+    ("x15", "Deltasol dba Ajmer Lining"), ("x16", "O’Neil t/a big-house.co.uk"), ("x17", "ગુજરાત silver"), ("x18", "தமிழ்"), ("x19", "a"), ("x20", "007 000 0 12ab"), ("x21", "Ｌａｋｅ Ｖｉｅｗ ｔｏｗｅｒ ½ ﬁeld ⅷth"), ("x22", "café Villa"),
 ]
 
 
@@ -171,7 +172,8 @@ def idf_retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features_b(spark: SparkSession, sf_dir: str, fold: bool, fuzzy: bool) -> DataFrame:
     records = document_records(spark, sf_dir)
     vocabulary, pairs = R.retrieve_candidates(records, TOP_K, TOKEN_CAP, fold)
-    return X.with_features_b(pairs, X.records_b(records, fold), vocabulary, fuzzy)
+    compared = X.records_b(records, fold, S.state_clusters(S.surface_counts(records)))
+    return X.with_features_b(settled(pairs, "retrieved"), settled(compared, "records"), vocabulary, fuzzy, document_truth(spark, sf_dir))
 
 
 def pair_features_b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +185,14 @@ def pair_features_b_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/kinmatch")
     return S.state_clusters(S.surface_counts(document_records(spark, sf_dir)))
 
 
+def canonical_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = document_records(spark, sf_dir)
+    return S.canonical_state(records, S.state_clusters(S.surface_counts(records))).select("entity_id", "country", "state")
+
+
 # Decisions and results, on evidence as the score.
 
 
@@ -220,14 +225,20 @@ def _pair_ord() -> Column:
     return F.struct("other_ord", "rank").alias("pair_ord")
 
 
+def _results(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
+    return D.emitted(_required(spark, sf_dir), D.grouped(D.above(scores, THRESHOLD).select("s1_id", "other_id", _pair_ord())))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    return D.emitted(_required(spark, sf_dir), D.grouped(pairs.select("s1_id", "other_id", _pair_ord())), "candidate_entity_ids")
+
+
 def emit_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = D.above(_scores(spark, sf_dir), THRESHOLD).select("s1_id", "other_id", _pair_ord())
-    return D.emitted(_required(spark, sf_dir), D.grouped(kept))
+    return _results(spark, sf_dir, _scores(spark, sf_dir))
 
 
 def emit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _final(spark, sf_dir).select("s1_id", "other_id", _pair_ord())
-    return D.emitted(_required(spark, sf_dir), D.grouped(rows), "candidate_entity_ids")
+    return _candidates(spark, sf_dir, _final(spark, sf_dir))
 
 
 # Metrics.
@@ -298,8 +309,8 @@ def label_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Contract checks, over our results and a corrupted copy of them.
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    good = emit_results(spark, sf_dir).select("ord", F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("line")).cache()
+def _lines(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = results.select("ord", F.concat_ws("\t", "source1_entity_id", "matched_entity_ids").alias("line"))
     line, i = F.col("line"), F.col("ord") % 21
     bad = good.filter(i != 15).select(
         "ord",
@@ -309,12 +320,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = _lines(spark, sf_dir)
+    scores = settled(_scores(spark, sf_dir), "scores")
+    good, bad = _lines(_results(spark, sf_dir, scores))
     required, known = _entities(spark, sf_dir), document_records(spark, sf_dir).filter("src > 1").select(F.col("entity_id").alias("other_id"))
-    cand = V.parsed(emit_candidates(spark, sf_dir).select(F.concat_ws("\t", "source1_entity_id", "candidate_entity_ids").alias("line"))).cache()
+    cand = V.parsed(_candidates(spark, sf_dir, scores).select(F.concat_ws("\t", "source1_entity_id", "candidate_entity_ids").alias("line")))
     out = None
     for name, lines in (("good", good), ("bad", bad)):
-        rows = V.parsed(lines).cache()  # the files that are checked; each rule reads them
+        rows = settled(V.parsed(lines), name)  # the files that are checked; each rule reads them
         found = V.report(V.violations(rows, required, known).unionByName(V.not_candidates(rows, cand))).withColumn("file", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out
@@ -323,8 +335,15 @@ def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Models.
 
 
+def training_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = K.labelled(_final(spark, sf_dir), document_truth(spark, sf_dir))
+    chosen = L.training_rows(pairs, L.ModelParams(negatives=1.0)).select("s1_id", "other_id", F.lit(True).alias("trained"))
+    out = pairs.select("s1_id", "other_id", "label").join(chosen, ["s1_id", "other_id"], "left")
+    return out.groupBy(F.coalesce("trained", F.lit(False)).alias("trained"), "label").agg(F.count("*").alias("n"), F.countDistinct("s1_id").alias("n_entities"))
+
+
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = X.with_features_a(K.labelled(_final(spark, sf_dir), document_truth(spark, sf_dir))).cache()
+    pairs = settled(X.with_features_a(K.labelled(_final(spark, sf_dir), document_truth(spark, sf_dir))), "labelled")
     p = L.ModelParams(rounds=10, depth=4, negatives=0.5)
     model = L.fit(L.training_rows(pairs, p), X.FEATURES_A, p)
     return L.score(model, pairs).select("s1_id", "other_id", "label", "score")
@@ -334,7 +353,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_names, address_tokens, postal_codes, char_ngrams, clean_tokens, folded_tokens, script_flags, trade_variants, block_keys, optional_keys, key_df_trim, key_union_join, posting_budget, evidence_topk,
-        evidence_score, entity_budget, label_pairs, idf_vocab, idf_retrieval_topk, pair_features_b, pair_features_b_fuzzy, state_clusters, global_threshold, accept_rule, one_owner, emit_results, emit_candidates,
+        evidence_score, entity_budget, label_pairs, idf_vocab, idf_retrieval_topk, pair_features_b, pair_features_b_fuzzy, state_clusters, canonical_states, training_split, global_threshold, accept_rule, one_owner, emit_results, emit_candidates,
         macro_f05, error_breakdown, threshold_sweep, blocking_recall, recall_curve, entity_retention, profile_source, top_countries, profile_truth, stride_sample, label_sample, validate_rules, gbt_scores,
     )
 } | {"pair_features_a1": _features(slice(0, 7)), "pair_features_a2": _features(slice(7, 14)), "pair_features_a3": _features(slice(14, 20))}

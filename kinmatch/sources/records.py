@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
@@ -50,6 +50,26 @@ def write_results(results: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").option("emptyValue", "").csv(path, sep="\t", header=True, quote="\u0000")
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with nth from 0 in the order of a column, and total; ranges are sorted in parallel, and only their sizes are summed."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    within = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return within.join(F.broadcast(before), "_part").join(F.broadcast(rows.agg(F.count("*").alias("total"))), F.lit(True)).withColumn("nth", F.col("_nth") - 1 + F.col("_before")).drop("_part", "_nth", "_n", "_before")
+
+
+def first_rows(records: DataFrame, limit: int | None = None, s1_limit: int | None = None) -> DataFrame:
+    """The window of a shorter run: the first s1_limit records of source 1 and the first `limit` of each other source, by ord (None: all)."""
+    if limit is None and s1_limit is None:
+        return records
+    parts = [records.filter(F.col("src") == k) for k in (1, 2, 3)]
+    for k, most in ((0, s1_limit), (1, limit), (2, limit)):
+        if most is not None:
+            parts[k] = numbered(parts[k], "ord").filter(F.col("nth") < most).drop("nth", "total")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: ord, entity_id, src (1 to 3), business_name (the first line), business_address (the other lines), country (lang), text."""
     text = F.coalesce("text", F.lit(""))
