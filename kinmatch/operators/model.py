@@ -47,7 +47,9 @@ def fit(rows: DataFrame, features: list[str], p: ModelParams = ModelParams()) ->
         weight = (n.n - n.p) / n.p if n.p else 1.0
         rows, gbt = rows.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0)), gbt.setWeightCol("weight")
     if p.validate:
-        rows, gbt = rows.withColumn("kept_back", hash_share(F.col("s1_id"), p.validate)), gbt.setValidationIndicatorCol("kept_back")
+        rows = rows.withColumn("kept_back", hash_share(F.col("s1_id"), p.validate))
+        if rows.select("kept_back").distinct().count() == 2:  # a few entities may all fall on one side
+            gbt = gbt.setValidationIndicatorCol("kept_back")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(rows)
 
 

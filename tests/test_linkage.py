@@ -215,6 +215,71 @@ def test_whole_run(spark, tmp_path):
     assert V.report(V.violations(rows, truth.select("s1_id"))).count() == 0
 
 
+def files(tmp_path, n=60):
+    r = random.Random(6)
+    words = "amber birch cedar delta ember flint grove harbor iris jade".split()
+    name = lambda i: " ".join(random.Random(i).sample(words, 3)) + f" {i}"
+    for s in (1, 2, 3):
+        body = "".join(f"S{s}-{i}\t{name(i)}{' Ltd' if s == 2 else ''}\t{r.randrange(99)} Lakeview, Pune, {('MH', 'Maharashtra')[s % 2]}\tIndia\n" for i in range(n) if s == 1 or i % s)
+        (tmp_path / f"s{s}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + body)
+    (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t{','.join(f'S{s}-{i}' for s in (2, 3) if i % s)}\n" for i in range(n)))
+    return [str(tmp_path / f"s{s}.tsv") for s in (1, 2, 3)], str(tmp_path / "t.tsv")
+
+
+def test_whole_run_of_the_second_lineage(spark, tmp_path):
+    from kinmatch.plans import linkage, retrieval
+
+    paths, truth = files(tmp_path)
+    p = retrieval.RetrievalParams(top_k=5, hold_out=0.3)
+    row = retrieval.train(spark, paths, truth, str(tmp_path / "m"), p, L.ModelParams(rounds=3, depth=3, balance=True, validate=0.1)).first()
+    assert row.macro_f05 > 0.7 and row.link_recall > 0.9
+    report = retrieval.test(spark, paths, str(tmp_path / "m"), str(tmp_path / "o"), p)
+    assert V.exit_code(report) == 0
+    score = linkage.score_file(spark, str(tmp_path / "o" / "matching_results"), truth).first()
+    assert score.n == 60 and score.macro_f05 > 0.7
+    (tmp_path / "o" / "candidate_pairs").rename(tmp_path / "o" / "elsewhere")
+    report = linkage.run(spark, "validate", paths, None, str(tmp_path / "o"))
+    assert [(r.rule, r.severity) for r in report.collect()] == [("no_candidates", "warning")] and V.exit_code(report) == 0
+
+
+def test_windows(spark, tmp_path):
+    from kinmatch.plans import linkage
+
+    paths, truth = files(tmp_path, 30)
+    row = linkage.run(spark, "recall", paths, truth, str(tmp_path / "o"), K.BlockingParams(token_cap=60, post_budget=60), limit=5, s1_limit=8).first()
+    assert (row.known, row.found) == (9, 9)  # S2-1, 3, 5, 7 and S3-1, 2, 4, 5, 7, with S1-0 to 7
+    data = records.first_rows(linkage.load_records(spark, paths), 5, 8)
+    assert sorted(r.entity_id for r in data.filter("src = 2").collect()) == ["S2-1", "S2-3", "S2-5", "S2-7", "S2-9"] and data.filter("src = 1").count() == 8
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    r = random.Random(7)
+    for n in (1, 2, 7, 500):
+        values = [round(r.random(), 2) for _ in range(n)]
+        got = {round(x.share, 2): x.value for x in M.percentiles(spark.createDataFrame([(v,) for v in values], "score double"), "score").collect()}
+        assert len(got) == 101 and all(got[round(i / 100, 2)] == pytest.approx(np.percentile(values, i)) for i in range(101))
+
+
+def test_states_by_name(spark, tmp_path):
+    from kinmatch.operators import state_maps as S
+
+    rows = [(i, f"S1-{i}", 1, "x", f"1 Road, {city}, {state}", "IN") for i, (city, state) in enumerate([(c, s) for c in ("Pune", "Mumbai", "Nashik") for s in ("MH", "Maharashtra", "MH")] + [("Pune", "Goa"), ("Panaji", "Goa")])]
+    data = rec(spark, [*rows, (90, "S1-90", 1, "x", "no components", "IN")])
+    S.save_maps(S.state_clusters(S.surface_counts(data)), str(tmp_path / "maps"))
+    got = {r.entity_id: r.state for r in S.canonical_state(data, S.load_maps(spark, str(tmp_path / "maps"))).collect()}
+    assert {got[f"S1-{i}"] for i in range(9)} == {"mh"} and got["S1-9"] == "goa" and got["S1-90"] == ""
+
+
+def test_compatibility_forms(spark):
+    import unicodedata
+
+    texts = ["Ｌａｋｅ ｔｏｗｅｒ", "ﬁeld ½", "café villa", "ⅷth", "plain", "", None]
+    assert column(spark, unicode.nfkc, texts) == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    assert column(spark, A.address_tokens, ["Ｌａｋｅ ﬁeld cafés"]) == [["lake", "field"]]
+
+
 def test_stream(spark, tmp_path):
     from kinmatch.streaming.probe import stream_pairs
 
