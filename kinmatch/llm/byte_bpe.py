@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, in_batches, joined, plain, steps, utf8
-from kinmatch.llm.pieces import AT_ONCE, PieceTable, ragged
+from kinmatch.llm.common import given_id, in_batches, joined, plain, ragged, steps, utf8
+from kinmatch.llm.pieces import AT_ONCE, PieceTable
 
 #: Pieces whose ids a Python worker remembers: at least so many of the last ones, at most twice as many.
 REMEMBERED = 1_000_000
@@ -236,43 +235,60 @@ def round_trips(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 BUCKETS = 8192
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """A literal array of maps from a token's hex digits to its rank (five digits and more, zero-padded), by the hash of the hex digits."""
-    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        h = token.hex().upper()
-        buckets[zlib.crc32(h.encode()) % BUCKETS].append(f"{h}:{rank:08d}")
-    return F.expr("array(" + ",".join(f"str_to_map('{','.join(b) or '-:-'}')" for b in buckets) + ")")
+def _bucket(left, right):
+    return (left * 31 + right * 7919) % BUCKETS
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), then), 1)
+def rank_tables(ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """The rank map as literals: by bucket, the pairs of ids that have a rank (left * 2^20 + right), and their ranks."""
+    merges = Merges(ranks)
+    left, right = merges.pairs >> 32, merges.pairs & (2**32 - 1)
+    order = np.argsort(_bucket(left, right), kind="stable")
+    cuts = np.searchsorted(_bucket(left, right)[order], np.arange(BUCKETS + 1))
 
+    def literal(values: np.ndarray, kind: str) -> Column:
+        parts = [",".join(map(str, values[order[i:j]].tolist())) or "-1" for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return F.expr("array(" + ",".join(f"cast(split('{x}', ',') as array<{kind}>)" for x in parts) + ")")  # folded to a constant once
 
-def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
-    """words with a column ids (array<int>): ranked merges folded over each (non-null) word's bytes, by expressions only."""
-    table, none = rank_table(ranks), F.array().cast("array<string>")
+    return literal(left << 20 | right, "bigint"), literal(merges.made, "int")
 
-    def rank(token: Column) -> Column:
-        return F.try_element_at(F.element_at(table, (F.crc32(token.cast("binary")) % BUCKETS + 1).cast("int")), token)
 
-    def step(state: Column, _: Column) -> Column:
-        parts, pairs = state["parts"], state["pairs"]
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), then), 1)
+
 
-        def merge(k: Column) -> Column:
-            def with_merged(m: Column) -> Column:
-                left = F.when(k > 1, F.array(rank(F.concat(F.get(parts, k - 2), m)))).otherwise(none)
-                right = F.when(k + 1 < F.size(parts), F.array(rank(F.concat(m, F.get(parts, k + 1))))).otherwise(none)
-                new_parts = F.concat(F.slice(parts, F.lit(1), k - 1), F.array(m), F.slice(parts, k + 2, F.size(parts)))
-                new_pairs = F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, F.size(parts)))
-                return F.struct(new_parts.alias("parts"), new_pairs.alias("pairs"))
+def fold_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
+    """words with a column ids (array<int>): ranked merges folded over each (non-null) word's bytes, by expressions only. The state is the parts' ids and the ranks of neighbours."""
+    pairs_of, ranks_of = rank_tables(ranks)
+    none = F.array().cast("array<int>")
+    of_byte = F.expr("cast(split('" + ",".join(str(ranks[bytes([b])]) for b in range(256)) + "', ',') as array<int>)")
 
-            return _let(F.concat(F.get(parts, k - 1), F.get(parts, k)), with_merged)
+    def rank(left: Column, right: Column) -> Column:
+        def found(bucket: Column) -> Column:
+            at = F.array_position(F.get(pairs_of, bucket), F.shiftleft(left.cast("bigint"), 20) + right)
+            return F.when(at > 0, F.get(F.get(ranks_of, bucket), (at - 1).cast("int")))
 
-        return _let(F.array_min(pairs), lambda least: F.when(least.isNull(), state).otherwise(_let(F.array_position(pairs, least).cast("int"), merge)))
+        return _let(_bucket(left, right).cast("int"), found)
 
-    h = F.hex(F.col(word_col).cast("binary"))
-    parts = F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest((F.length(h) / 2 - 1).cast("int"), F.lit(0))), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))).otherwise(none)
-    start = _let(parts, lambda p: F.struct(p.alias("parts"), F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: rank(F.concat(x, F.get(p, i + 1)))).alias("pairs")))
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1))
-    return words.withColumn("ids", F.aggregate(rounds, start, step, lambda s: F.transform(s["parts"], lambda p: rank(p).cast("int"))))
+    def step(state: Column, _: Column) -> Column:
+        ids, pairs = state["ids"], state["pairs"]
+
+        def merge(least: Column) -> Column:
+            def at(k: Column) -> Column:  # from 1
+                left = F.when(k > 1, F.array(rank(F.get(ids, k - 2), least))).otherwise(none)
+                right = F.when(k + 1 < F.size(ids), F.array(rank(least, F.get(ids, k + 1)))).otherwise(none)
+                new_ids = F.concat(F.slice(ids, F.lit(1), k - 1), F.array(least), F.slice(ids, k + 2, F.size(ids)))
+                new_pairs = F.concat(F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(pairs, k + 2, F.size(ids)))
+                return F.struct(new_ids.alias("ids"), new_pairs.alias("pairs"))
+
+            return F.when(least.isNull(), state).otherwise(_let(F.array_position(pairs, least).cast("int"), at))
+
+        return _let(F.array_min(pairs), merge)
+
+    text = F.col(word_col).cast("binary")
+    size = F.octet_length(text)
+    byte = lambda i: F.conv(F.hex(F.substring(text, i, F.lit(1))), 16, 10).cast("int")
+    ids = F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.get(of_byte, byte(i)))).otherwise(none)
+    start = _let(ids, lambda p: F.struct(p.alias("ids"), F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: rank(x, F.get(p, i + 1))).alias("pairs")))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1))
+    return words.withColumn("ids", F.aggregate(rounds, start, step, lambda s: s["ids"]))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from kinmatch.llm.common import joined
+from kinmatch.llm.common import joined, ragged
 from kinmatch.llm.words import table, word_hashes
 
 #: Bytes of pieces that are looked up at a time.
@@ -43,12 +43,6 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cuts)
 
 
-def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """flat[start:start + size] of each row, one after another."""
-    end = np.cumsum(size)
-    return flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - end + size, size)]
-
-
 @dataclass
 class Known:
     """Pieces by hash, in order: where their bytes and ids lie."""

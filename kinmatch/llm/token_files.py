@@ -20,8 +20,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, in_batches, joined, new_path, plain, steps, stored, utf8
-from kinmatch.llm.pieces import AT_ONCE, PieceTable, ragged
+from kinmatch.llm.common import given_id, in_batches, joined, new_path, plain, ragged, steps, stored, utf8
+from kinmatch.llm.pieces import AT_ONCE, PieceTable
 
 #: Pieces that a Python worker remembers: at least so many of the last ones, at most twice as many.
 REMEMBERED = 1_000_000
