@@ -26,17 +26,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import NO_ID, bit_filter, given_id, joined, may_hold, mixed, plain, release, steps, stored, text_key, utf8
+from kinmatch.llm.common import given_id, in_batches, joined, mixed, plain, release, split_by, steps, stored, tagged, text_key, untagged, utf8
 from kinmatch.llm.components import connected_components
-from kinmatch.llm.suffix_dedup import LEAST_BITS, SEGMENTS, packed, segment_filters, suspected
+from kinmatch.llm.repeats import LISTS, layout, repeats, segment_lists, suspected
 from kinmatch.llm.words import NONSPACE, words
 
 #: The filter over repeated elements is at most 32 MB.
 MOST_BITS = 1 << 28
-#: Text whose elements are sorted at once.
-LIST_BYTES = 8 << 20
+#: Elements that are sorted at once, and keys that go on at once.
+LIST_SIZE, KEYS_SIZE = 1 << 21, 1 << 20
 #: Elements of the sets of one tile, at most (unless a single set has more).
-TILE = 1 << 19
+TILE = 1 << 18
+#: Bits of signatures that are made at a time.
+SIGNATURE_BITS = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,55 +103,60 @@ def _name_rows(n: int):
     return rows
 
 
-def _element_rows(n: int):
-    """Sorted lists of the elements of some documents (LIST_BYTES of text), with whether two of these have them."""
+def _element_rows(n: int, segments: int):
+    """Sorted lists of the elements of some documents (LIST_SIZE elements), with whether two of these have them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            key, count = np.unique(joined(lists, np.uint64), return_counts=True)
+            lists.clear()
+            return segment_lists(key, count > 1, segments)
+
         for batch in batches:
-            _, offsets = utf8(batch.column("txt"))
-            for i, j in steps(offsets, LIST_BYTES):
-                key, count = np.unique(joined([grams for _, grams, _ in _sets(batch.slice(i, j - i), n)], np.uint64), return_counts=True)
-                cuts = np.searchsorted(key >> np.uint64(56), np.arange(SEGMENTS + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                lists = [(packed(key[cuts[s] : cuts[s + 1]]), np.packbits(count[cuts[s] : cuts[s + 1]] > 1).tobytes()) for s in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary())], ["segment", "keys", "several"])
+            for _, grams, _ in _sets(batch, n):
+                lists.append(grams)
+                if sum(map(len, lists)) >= LIST_SIZE:
+                    yield out()
+        if lists:
+            yield out()
 
     return rows
 
 
-def repeated_elements(source: DataFrame, n: int) -> tuple[Broadcast, int]:
-    """A filter over the elements of two documents or more, one segment a row, and each segment's bits."""
-    total = source.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(total).bit_length())) // SEGMENTS
-    lists = source.select("txt").mapInArrow(_element_rows(n), "segment int, keys binary, several binary")
-    filters = lists.repartition(SEGMENTS // 4, "segment").sortWithinPartitions("segment").mapInArrow(segment_filters(bits), "segment int, held binary")
-    held = np.zeros((SEGMENTS, bits // 8), np.uint8)
-    for r in stored(filters, "element-filter").toLocalIterator():  # MOST_BITS at most, a few files at a time
-        held[r.segment] = np.frombuffer(r.held, np.uint8)
-    del lists, filters
-    release(source.sparkSession)
-    return source.sparkSession.sparkContext.broadcast(held), bits
+def repeated_elements(source: DataFrame, n: int) -> Broadcast:
+    """A filter over the elements of two documents or more."""
+    segments, bits = layout(source.agg(F.sum(F.octet_length("txt"))).first()[0] or 0, MOST_BITS)
+    return repeats(source.select("txt").transform(in_batches, _element_rows(n, segments), LISTS), segments, bits, "element-filter")
+
 
+def _key_rows(n: int, percent: int, held: np.ndarray):
+    """(key, tk): each key once in KEYS_SIZE, with the smallest of its texts' hashes; the others are tied to that one by keys of their own."""
 
-def _key_rows(n: int, percent: int, held: np.ndarray, bits: int):
-    """(key, tk): each key once a batch, with the smallest of its texts' hashes; the others are tied to that one by keys of their own."""
+    def out(owners: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        owner, key = joined(owners, np.int64), joined(keys, np.uint64)
+        order = np.lexsort((owner, key))
+        owner, key = owner[order], key[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        pivot = owner[first][np.cumsum(first) - 1] if len(key) else owner
+        ties = np.unique(np.stack([owner, pivot], axis=1)[owner != pivot], axis=0)
+        tie = mixed(mixed(ties[:, 0].astype(np.uint64)) + ties[:, 1].astype(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], tie, tie]).view(np.int64)), pa.array(np.concatenate([owner[first], ties[:, 0], ties[:, 1]]))], ["key", "tk"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, keys = [], []
         for batch in batches:
             tks = batch.column("tk").to_numpy()
-            owners, keys = [], []
             for i, grams, at in _sets(batch, n):
-                owner, key = prefix_keys(grams, at, suspected(held, bits, grams), percent)
+                owner, key = prefix_keys(grams, at, suspected(held, grams), percent)
                 owners.append(tks[owner + i])
                 keys.append(key)
-            owner, key = joined(owners, np.int64), joined(keys, np.uint64)
-            order = np.lexsort((owner, key))
-            owner, key = owner[order], key[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            pivot = owner[first][np.cumsum(first) - 1] if len(key) else owner
-            ties = np.unique(np.stack([owner, pivot], axis=1)[owner != pivot], axis=0)
-            tie = mixed(mixed(ties[:, 0].astype(np.uint64)) + ties[:, 1].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], tie, tie]).view(np.int64)), pa.array(np.concatenate([owner[first], ties[:, 0], ties[:, 1]]))], ["key", "tk"])
+            if sum(map(len, keys)) >= KEYS_SIZE:
+                yield out(owners, keys)
+                owners, keys = [], []
+        if keys:
+            yield out(owners, keys)
 
     return rows
 
@@ -179,14 +186,18 @@ class Links:
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A bitmap a set: bit h mod (bits) for each hash. About eight bits an element, 64 to 32,768."""
     bits = min(1 << 15, max(64, 1 << (4 * max(map(len, sets)) - 1).bit_length()))
-    out = np.zeros((len(sets), bits), bool)
-    for k, s in enumerate(sets):
-        out[k, (s % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    step = max(1, SIGNATURE_BITS // bits)
+    for a in range(0, len(sets), step):
+        part = np.zeros((min(step, len(sets) - a), bits), bool)
+        for k, s in enumerate(sets[a : a + step]):
+            part[k, (s % np.uint64(bits)).astype(np.int64)] = True
+        out[a : a + step] = np.packbits(part, axis=1).view(np.uint64)
+    return out
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among sets (a spanning forest of them), in ascending size; side: 0 or 1, and with both present only pairs across count."""
+def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int, forest: bool = True) -> list[tuple[int, int, int]]:
+    """Links among sets in ascending size, each with its overlap: all of them, or a spanning forest. side: 0 or 1, and with both present only pairs across count."""
     sizes = np.array([len(s) for s in sets])
     bitmaps, links, out = signatures(sets), Links(len(sets)), []
     two = bool(side.any()) and not side.all()
@@ -196,7 +207,7 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
         later = np.arange(i + 1, stop)
         if two:
             later = later[side[later] != side[i]]
-        if len(later):
+        if forest and len(later):
             later = later[links.roots()[later] != links.find(i)]
         if not len(later):
             continue
@@ -205,25 +216,27 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
         bound = np.minimum(sizes[i] - (marked[i] - shared), sizes[later] - (marked[later] - shared))
         later = later[(100 + percent) * bound >= percent * (sizes[i] + sizes[later])]
         for j in later.tolist():
-            if links.find(i) == links.find(j):
+            if forest and links.find(i) == links.find(j):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= percent * (sizes[i] + sizes[j] - both):
                 links.union(i, j)
-                out.append((i, j))
+                out.append((i, j, both))
     return out
 
 
-def _tile_rows(n: int, percent: int):
+def _tile_rows(n: int, percent: int, forest: bool):
     def links(group: list[tuple]) -> pa.RecordBatch:
         group.sort(key=lambda r: (r[4], r[1], r[2]))
         texts = [r[5] for r in group]
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        grams, at = shingle_sets(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), n)
-        sets = [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        found = tile_links(sets, np.array([r[3] for r in group]), percent)
-        ends = [[group[pair[end]][c] for pair in found] for c in (1, 2) for end in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b", "ta", "tb"])
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        sets: list[np.ndarray] = []
+        for i, j in steps(offsets):
+            grams, at = shingle_sets(data, offsets[i : j + 1], n)
+            sets += [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        found = tile_links(sets, np.array([r[3] for r in group]), percent, forest)
+        columns = [[group[pair[end]][c] for pair in found] for c in (1, 2) for end in (0, 1)] + [[pair[2] for pair in found]]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "ta", "tb", "both"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -242,16 +255,17 @@ def _tile_rows(n: int, percent: int):
     return rows
 
 
-def _set_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The set of each row (did, tk, a, b, n), and links that join the rows of each class: the ids (a, b) and text hashes (ta, tb) of two rows."""
+def _set_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, forest: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The set of each row (did, tk, a, b, n), and links that join the rows of each class: the ids (a, b) and text hashes (ta, tb) of two rows, and the overlap of their sets (null where these are equal)."""
     spark = docs.sparkSession
     source = plain(docs, id_col, text_col).withColumn("tk", text_key())
-    sets = stored(source.mapInArrow(_name_rows(n), "did long, tk long, a long, b long, n long"), "shingle-sets")
-    sent, bits = repeated_elements(source, n)
-    parts = source.mapInArrow(lambda batches: _key_rows(n, percent, sent.value, bits)(batches), "key long, tk long")
+    sets = stored(source.transform(in_batches, _name_rows(n), "did long, tk long, a long, b long, n long"), "shingle-sets")
+    sent = repeated_elements(source, n)
+    parts = source.transform(in_batches, lambda batches: _key_rows(n, percent, sent.value)(batches), "key long, tk long")
     first = F.first("tk").over(Window.partitionBy("key").orderBy("tk").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     across = parts.withColumn("pivot", first).filter("tk <> pivot").select(F.col("tk").alias("a"), F.col("pivot").alias("b")).distinct()
     across = stored(across, "rough-links")
+    sent.destroy()
     del parts
     release(spark)
     rough = connected_components(across, "rough-classes")
@@ -259,7 +273,7 @@ def _set_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     # One row stands for all with its set.
     named = sets.filter("n > 0")
     heads = named.groupBy("a", "b", "n").agg(F.min("did").alias("head"), F.min_by("tk", "did").alias("tk"))
-    copies = named.join(heads.withColumnRenamed("tk", "head_tk"), ["a", "b", "n"]).filter("did <> head or tk <> head_tk").select(F.col("did").alias("a"), F.col("head").alias("b"), F.col("tk").alias("ta"), F.col("head_tk").alias("tb"))
+    copies = named.join(heads.withColumnRenamed("tk", "head_tk"), ["a", "b", "n"]).filter("did <> head or tk <> head_tk").select(F.col("did").alias("a"), F.col("head").alias("b"), F.col("tk").alias("ta"), F.col("head_tk").alias("tb"), F.lit(None).cast("long").alias("both"))
     members = heads.join(rough.withColumnRenamed("node", "tk"), "tk").select("head", "tk", "component", "n")
     # Tiles: stretches of a class's sets, in order of size, with about TILE elements each.
     several = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
@@ -272,14 +286,8 @@ def _set_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     work = bands.join(other, "component").filter((F.col("tile") <= F.col("tile_b")) & (100 * F.col("most") >= percent * F.col("least_b"))).select("component", "tile", "tile_b", F.xxhash64("component", "tile", "tile_b").alias("work"))
     sides = work.select("component", "tile", "work", F.lit(0).alias("side")).unionByName(work.filter("tile <> tile_b").select("component", F.col("tile_b").alias("tile"), "work", F.lit(1).alias("side")))
     wanted = tiles.join(sides, ["component", "tile"]).select("work", F.col("head").alias("did"), "tk", "side", "n")
-    held = spark.sparkContext.broadcast(bit_filter(tiles.select(F.xxhash64("head", "tk").alias("h")), "h"))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select(["did", "tk", "txt"]).filter(pa.array(may_hold(held.value, batch.column("h").to_numpy())))
-
-    texts = source.withColumn("h", F.xxhash64("did", "tk")).withColumn("txt", F.col("txt").cast("binary")).mapInArrow(candidates, "did long, tk long, txt binary")
-    matched = texts.join(wanted, ["did", "tk"]).repartition("work").sortWithinPartitions("work").select("work", "did", "tk", "side", "n", "txt").mapInArrow(_tile_rows(n, percent), "a long, b long, ta long, tb long")
+    texts, _ = split_by(source.withColumn("txt", F.col("txt").cast("binary")), tiles.select(F.col("head").alias("did"), "tk"))
+    matched = texts.join(wanted, ["did", "tk"]).repartition("work").sortWithinPartitions("work").select("work", "did", "tk", "side", "n", "txt").transform(in_batches, _tile_rows(n, percent, forest), "a long, b long, ta long, tb long, both long")
     links = stored(matched.unionByName(copies), "links")
     del matched, texts
     release(spark)
@@ -303,6 +311,27 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("root", F.coalesce("component", "did")).select(given_id().alias("doc_id"), F.col("n").alias("n_shingles"), given_id("root").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and who has each set.
+
+    Links: a, b (ids of the rows that stand for two sets), overlap, each pair once;
+    members: doc_id, n_shingles, head (the id that stands for its set) and n_links
+    (how many other rows its own links with, those of equal sets included). Sets
+    without elements link with nothing; a null id is the largest of all and comes
+    out as null, so ids should be given and unique here; empty tables give no rows.
+    """
+    sets, links = _set_links(docs, id_col, text_col, n, percent, forest=False)
+    size = sets.groupBy("a", "b", "n").agg(F.min("did").alias("head"), F.count("*").alias("size"))
+    between = links.filter("both is not null").select("a", "b", F.col("both").alias("overlap"))
+    ways = between.select(F.col("a").alias("head"), F.col("b").alias("other")).unionByName(between.select(F.col("b").alias("head"), F.col("a").alias("other")))
+    named = size.filter("n > 0")
+    reach = ways.join(named.select(F.col("head").alias("other"), "size"), "other").groupBy("head").agg(F.sum("size").alias("across"))
+    size = named.join(reach, "head", "left").select("a", "b", "n", "head", (F.col("size") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"))
+    members = sets.join(size, ["a", "b", "n"], "left")
+    members = members.select(given_id().alias("doc_id"), F.col("n").alias("n_shingles"), given_id("head").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return between.select(given_id("a").alias("a"), given_id("b").alias("b"), "overlap"), members
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, but for those that a class of near-duplicates holds beside its first row.
 
@@ -318,6 +347,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = stored(sets.select("did", "tk").join(linked, "tk").distinct(), "class-rows")
     firsts = members.groupBy("component").agg(F.min("did").alias("first"))
     firsts = members.join(firsts, "component").filter("did = first").groupBy("component").agg(F.min("did").alias("first"), F.min("tk").alias("first_tk"))
-    others = members.join(firsts, "component").filter("did <> first or tk <> first_tk").select(F.col("did").alias("_id"), F.col("tk").alias("_tk"))
-    named = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tk": text_key(text_col)})
-    return named.join(others, ["_id", "_tk"], "left_anti").select(*docs.columns)
+    others = members.join(firsts, "component").filter("did <> first or tk <> first_tk").select("did", "tk")
+    return untagged(tagged(docs, id_col, tk=text_key(text_col)).join(others, ["did", "tk"], "left_anti"))

@@ -35,8 +35,8 @@ def rows() -> list[tuple]:
 
 def table(spark, data: list[tuple]):
     """data as a table with the columns of documents and others, whose names operators use themselves."""
-    full = [(i, t, None if k % 3 else "en", None if k % 4 else "src", None, f"d{k}", "clash", k, "x", 1.5, [k]) for k, (i, t) in enumerate(data)]
-    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, did string, txt string, tk int, unit string, n double, key array<int>")
+    full = [(i, t, None if k % 3 else "en", None if k % 4 else "src", None, f"d{k}", "clash", k, "x", 1.5, [k], f"i{k}", f"s{k}", k, f"m{k}", "r") for k, (i, t) in enumerate(data)]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, did string, txt string, tk int, unit string, n double, key array<int>, _id string, _sha string, component int, `meta.x` string, row string")
 
 
 def empty(spark):

@@ -12,7 +12,8 @@ from kinmatch.llm.components import connected_components
 from kinmatch.llm.exact_dedup import exact_dedup, keep_first
 from kinmatch.llm.jaccard_join import jaccard_classes, keep_one_of_each, prefix_keys, prefix_sizes, tile_links
 from kinmatch.llm.line_dedup import LEAST_BITS, TwoFilters, line_dedup
-from kinmatch.llm.suffix_dedup import has_earlier, packed, suffix_dedup, suffix_order, unpacked
+from kinmatch.llm.repeats import packed, unpacked
+from kinmatch.llm.suffix_dedup import has_earlier, suffix_dedup, suffix_order
 from tests.llm.cases import edited, empty, prose, rows, table
 
 LAST = 2**63
@@ -52,7 +53,7 @@ def test_exact_on_nothing(spark):
 def test_keep_first_keeps_all_columns(spark):
     docs = table(spark, rows())
     got = keep_first(docs)
-    assert got.columns == docs.columns
+    assert got.schema == docs.schema and set(map(str, got.collect())) <= set(map(str, docs.collect()))
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     texts = [norm(r.text) for r in got.collect()]
     assert len(texts) == len(set(texts)) and set(texts) == {norm(t) for _, t in rows()}
@@ -135,6 +136,13 @@ def test_two_filters_lose_no_repeat():
     assert found[:100].all() and found[100:].mean() < 0.2
 
 
+def test_line_of_all_documents(spark):
+    line = "a line of more than forty characters that all documents hold"
+    data = [(i, f"{line}\nown {i}") for i in range(300)]
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup(table(spark, data)).collect())
+    assert got == brute_lines(data, 40, 5)
+
+
 # Suffixes.
 
 
@@ -172,11 +180,64 @@ def test_texts_in_pieces_give_the_same(spark, monkeypatch):
     want = brute_suffixes(data)
     monkeypatch.setattr(m, "PIECE", 1000)
     monkeypatch.setattr(m, "STEP", 500)
-    assert list(m.parts(__import__("pyarrow").array([b"a" * 2100])))  # pieces are made
+    assert list(m.parts(__import__("pyarrow").array([b"a" * 2100]), 50))  # pieces are made
     got = m.suffix_dedup(table(spark, data)).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("least", [50, 64])
+def test_repeats_over_the_cut_of_a_long_text(spark, monkeypatch, least):
+    import kinmatch.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "PIECE", 2000)
+    monkeypatch.setattr(m, "STEP", 500)
+    long = prose(11, 900)
+    data = [(1, long)] + [(2 + k, f"{k} {long[2000 * 1 - 30 - k : 2000 - 30 - k + least]} tail {k}") for k in range(4)]
+    got = m.suffix_dedup(table(spark, data), least=least).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == brute_suffixes(data, least)
+    assert all(r.n_removed >= least for r in got if r.doc_id > 1)
+
+
+@pytest.mark.parametrize("keys", [200, 1])
+def test_windows_of_frequent_anchors(spark, monkeypatch, keys):
+    import kinmatch.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "HOT_RUNS", 3)
+    monkeypatch.setattr(m, "HOT_KEYS", keys)
+    passage = prose(12, 30)
+    data = [(i, f"{prose(500 + i, 12)} {passage} {prose(600 + i, 12)}") for i in range(20)] + rows()
+    got = m.suffix_dedup(table(spark, data)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == brute_suffixes(data)
+
+
+def test_repeats_beyond_a_segments_memory(monkeypatch):
+    import kinmatch.llm.repeats as m
+
+    monkeypatch.setattr(m, "HELD_KEYS", 100)
+    monkeypatch.setattr(m, "ONCE_BITS", 1 << 14)
+    r = np.random.default_rng(5)
+    segment, keys = m.Segment(1 << 14), r.integers(0, 2**63, 1000, dtype=np.uint64)
+    for k in range(0, 1000, 50):
+        segment.add(np.sort(keys[k : k + 50]), np.zeros(50, bool))
+    segment.add(np.sort(keys[:60]), np.zeros(60, bool))  # seen before
+    segment.add(np.sort(keys[500:520]), np.ones(20, bool))  # known to repeat
+    held = np.frombuffer(segment.held(), np.uint8)[None, :]
+    monkeypatch.setattr(m, "segment_of", lambda keys, segments: np.zeros(len(keys), np.int64))
+    found = m.suspected(held, keys)
+    assert found[:60].all() and found[500:520].all() and found.mean() < 0.3
+
+
+def test_segments_follow_the_input():
+    from kinmatch.llm.repeats import layout, segment_lists, segment_of
+
+    assert layout(0, 1 << 29)[0] == 256 and layout(1 << 50, 1 << 29) == (4096, (1 << 29) // 4096)
+    keys = np.sort(np.random.default_rng(6).integers(0, 2**64, 5000, dtype=np.uint64))
+    for segments in (256, 4096):
+        lists = segment_lists(keys, np.zeros(5000, bool), segments)
+        assert (np.concatenate([unpacked(x) for x in lists.column("keys").to_pylist()]) == keys).all()
+        assert (np.diff(segment_of(keys, segments)) >= 0).all() and segment_of(keys, segments).max() < segments
+
+
 def test_suffix_order_and_factors():
     text = b"banana bandana banana"
     starts = np.arange(len(text) - 20 + 1)
@@ -253,7 +314,7 @@ def test_keep_one_of_each(spark):
     docs = table(spark, data)
     kept = keep_one_of_each(docs)
     want = {c for _, _, c in brute_classes(data, 5, 80)}
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
+    assert kept.schema == docs.schema and set(map(str, kept.collect())) <= set(map(str, docs.collect())) and {r.doc_id for r in kept.collect()} == want
     assert keep_one_of_each(empty(spark)).collect() == []
 
 
@@ -299,11 +360,11 @@ def test_tile_links_span_the_true_classes():
     base = np.sort(r.integers(0, 2**63, 80, dtype=np.uint64))
     sets = sorted([np.sort(np.concatenate([base[k:], r.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 1, 2, 3, 8, 30)] + [base[:10], base[:11]], key=len)
     found = tile_links(sets, np.zeros(len(sets), int), 90)
-    for i, j in found:
+    for i, j, n in found:
         both = len(np.intersect1d(sets[i], sets[j]))
-        assert 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both)
+        assert n == both and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both)
     root = list(range(len(sets)))
-    for i, j in found:
+    for i, j, _ in found:
         a, b = root[i], root[j]
         root = [a if x == b else x for x in root]
     for i in range(len(sets)):
@@ -313,6 +374,30 @@ def test_tile_links_span_the_true_classes():
                 assert root[i] == root[j]
 
 
+def test_all_links_match_brute_force(spark):
+    from kinmatch.llm.jaccard_join import jaccard_links
+
+    data = [(i, edited(prose(8, 60), i, i % 4)) for i in range(40)] + [(100 + i, prose(8, 60)) for i in range(3)] + [(200, None), (201, "")]
+    links, members = jaccard_links(table(spark, data))
+    sets = {i: frozenset(shingles(t, 3)) for i, t in data}
+    head = {}
+    for i, s in sorted(sets.items()):
+        head.setdefault(s, i)
+    near = lambda a, b: a and b and 100 * len(a & b) >= 90 * len(a | b)
+    want = {(min(head[a], head[b]), max(head[a], head[b]), len(a & b)) for a in head for b in head if a != b and near(a, b)}
+    assert {(min(r.a, r.b), max(r.a, r.b), r.overlap) for r in links.collect()} == want and links.count() == len(want) > 5
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in members.collect()}
+    assert got == {i: (len(s), sum(j != i and bool(near(s, t)) for j, t in sets.items())) for i, s in sets.items()}
+
+
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement, whose polynomial hashes modulo 2^64 are equal whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in jaccard_classes(table(spark, [(1, one), (2, other), (3, one.upper())])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(50, 60), (60, 55), (70, 70)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
