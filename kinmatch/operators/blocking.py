@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions import lineage_a as A
+from kinmatch.sources.settled import settled
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,11 @@ def prepare(records: DataFrame) -> DataFrame:
     return out.withColumn("pre", F.array_distinct(F.transform(long, lambda t: F.substring(t, 1, A.PREFIX))))
 
 
+def prepared(records: DataFrame) -> DataFrame:
+    """prepare(), stored: keys, document frequencies and both sides of pairs read it, and texts are normalised once."""
+    return settled(prepare(records), "light")
+
+
 def _key(weight: float, kind: str, *parts: Column) -> Column:
     return F.struct(F.lit(weight).alias("w"), F.concat_ws("|", F.lit(kind), *parts).alias("key"))
 
@@ -139,7 +145,7 @@ def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def scored_candidates(records: DataFrame, p: BlockingParams = BlockingParams()) -> tuple[DataFrame, DataFrame]:
     """Light records and, for probe records of sources 2 and 3, their strongest source-1 candidates with exact scores (before gate and budgets)."""
-    light = prepare(records)
+    light = prepared(records)
     keys = block_keys(light, p)
     index, probe = keys.filter("src = 1"), keys.filter("src > 1")
     df = trimmed(index, p)

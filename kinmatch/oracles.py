@@ -7,6 +7,7 @@ import unicodedata
 
 from kinmatch.functions.lineage_a import ADDRESS_SKIP, LEGAL_SUFFIXES
 from kinmatch.functions.lineage_b import SCRIPTS
+from kinmatch.functions.unicode import folded
 from kinmatch.operators.features import FEATURES_A
 from kinmatch.operators.metrics import GATES
 from kinmatch.queries import FLOOR, MOST, PARAMS, SAMPLES, THRESHOLD, TOKEN_CAP, TOP_K
@@ -48,6 +49,21 @@ SINGLE = {c: k for c, k in _COMPATIBLE.items() if len(k) == 1}
 SEVERAL = {c: k for c, k in _COMPATIBLE.items() if len(k) > 1}
 
 
+# Characters that lose their accents (Latin ones) or have a compatibility form, where tokens can tell.
+_FOLDED = {c: k for c in map(chr, (*range(0x80, 0x300), *range(0x370, 0xD800), *range(0xE000, 0x20000))) if (k := folded(c)) != c and re.search("[\x00-\x7f\u0900-\u0d7f]", k)}
+FOLD_SINGLE = {c: k for c, k in _FOLDED.items() if len(k) == 1}
+FOLD_SEVERAL = {c: k for c, k in _FOLDED.items() if len(k) > 1}
+
+
+def fold(x: str) -> str:
+    """Latin letters without their marks, and compatibility forms; the few texts with a character of FOLD_SEVERAL are taken apart."""
+    quoted = lambda s: s.replace("'", "''")
+    y = f"translate({x}, '{quoted(''.join(FOLD_SINGLE))}', '{quoted(''.join(FOLD_SINGLE.values()))}')"
+    spread = ", ".join(f"'{c}': '{quoted(k)}'" for c, k in FOLD_SEVERAL.items())
+    y = f"CASE WHEN regexp_matches({x}, '[{''.join(FOLD_SEVERAL)}]') THEN array_to_string(list_transform(string_split({y}, ''), lambda c: coalesce(map_extract(MAP {{{spread}}}, c)[1], c)), '') ELSE {y} END"
+    return f"regexp_replace({y}, '([A-Za-z\\x{{00c0}}-\\x{{024f}}])[\\x{{0300}}-\\x{{036f}}]+', '\\1', 'g')"
+
+
 def nfkc(x: str) -> str:
     """As far as keys can tell; the few texts with a character of SEVERAL are taken apart."""
     y = f"nfc_normalize(translate({x}, '{''.join(SINGLE)}', '{''.join(SINGLE.values())}'))"
@@ -82,8 +98,8 @@ def jaccard_a(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE {shared(a, b)}::DOUBLE / (len({a}) + len({b}) - {shared(a, b)}) END"
 
 
-def clean(x: str) -> str:
-    t = f"replace(regexp_replace(lower(trim({x})), '[’‘''`]', '', 'g'), '&', ' and ')"
+def clean(x: str, folding: bool = False) -> str:
+    t = f"replace(regexp_replace(lower({fold(f'trim({x})') if folding else f'trim({x})'}), '[’‘''`]', '', 'g'), '&', ' and ')"
     marked = f"regexp_replace({t}, '([a-z0-9-]+)\\.(?:com|net|org|co|in|io|biz|info|us|fr)\\b', ' \x01\\1\x02 ', 'g')"
     for _ in range(4):  # a domain's hyphens become spaces, one at a time
         marked = f"regexp_replace({marked}, '\x01([^\x01\x02-]*)-', '\x01\\1 ', 'g')"
@@ -257,6 +273,7 @@ SQL = {
     "postal_codes": query([REC, texts("address")], f"SELECT id, array_to_string({pins('s')}, ' ') AS pins FROM x"),
     "char_ngrams": query([REC, texts("name")], f"SELECT gram, count(*) AS df FROM (SELECT unnest(list_concat(list_transform({trigrams('n')}, lambda g: '3|' || g), list_transform({char4('n')}, lambda g: '4|' || g))) AS gram FROM (SELECT {name('s')} AS n FROM x)) GROUP BY gram"),
     "clean_tokens": query([REC, texts("text")], f"SELECT id, md5(array_to_string(t, ' ')) AS name_md5, len(t)::INT AS n_words, array_to_string({numbers(unpadded('t'))}, ' ') AS numbers FROM (SELECT id, {tokenized(clean('s'))} AS t FROM x)"),
+    "folded_tokens": query([REC, texts("text")], f"SELECT id, array_to_string({tokenized(clean('s', folding=True))}, ' ') AS tokens FROM x"),
     "script_flags": query(
         [REC, texts("text")],
         f"SELECT id, CASE WHEN length(l) = 0 OR n_LATIN = best THEN 'LATIN' {_script} END AS script, native FROM (SELECT *, greatest({_best}, n_LATIN) AS best FROM (SELECT id, l, native, {_counts}, length(regexp_replace(l, '[{INDIC}]', '', 'g')) AS n_LATIN "

@@ -109,7 +109,7 @@ def optional_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    keys = K.block_keys(K.prepare(document_records(spark, sf_dir)))
+    keys = K.block_keys(K.prepared(document_records(spark, sf_dir)))
     return keys.filter("src = 1"), keys.filter("src > 1"), K.trimmed(keys.filter("src = 1"), PARAMS)
 
 

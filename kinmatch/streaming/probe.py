@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from kinmatch.operators import blocking as K
+from kinmatch.sources.settled import settled
 
 
 def stream_pairs(records: DataFrame, light_index: DataFrame, sink_path: str, checkpoint: str, p: K.BlockingParams = K.BlockingParams()):
@@ -13,8 +14,9 @@ def stream_pairs(records: DataFrame, light_index: DataFrame, sink_path: str, che
     The entity budget needs the order of all probe records and is left to a
     batch pass over the sink.
     """
-    index_keys = K.block_keys(light_index, p).filter("src = 1").cache()
-    df = K.trimmed(index_keys, p).cache()
+    light_index = settled(light_index, "stream-index")
+    index_keys = K.block_keys(light_index, p).filter("src = 1")
+    df = settled(K.trimmed(index_keys, p), "stream-keys")
 
     def batch(rows: DataFrame, epoch: int) -> None:
         light = K.prepare(rows)
