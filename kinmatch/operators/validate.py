@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinmatch.functions.lineage_b import source_prefix
 from kinmatch.sources.settled import settled
 
 RESULT_HEADER = ("source1_entity_id", "matched_entity_ids")
@@ -45,7 +46,7 @@ def violations(rows: DataFrame, required: DataFrame, known: DataFrame | None = N
     One pass finds what a row shows by itself, one grouping by s1_id compares
     rows with required records, and one anti join finds unknown ids.
     """
-    source = lambda x: F.substring_index(x, "-", 1)
+    source = source_prefix
     named = lambda rule, c: F.struct(F.lit(rule).alias("rule"), c.cast("string").alias("example"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     inside = F.concat(

@@ -76,11 +76,12 @@ def observed(pairs: DataFrame, truth: DataFrame | None, name: str) -> tuple[Data
 
 def run(spark: SparkSession, mode: str, paths: list[str], truth_path: str | None, out: str, p: K.BlockingParams = K.BlockingParams(), m: L.ModelParams = L.ModelParams(), threshold: float | None = None, limit: int | None = None, s1_limit: int | None = None) -> DataFrame:
     """limit, s1_limit: only the first records of each other source, and of source 1; recall then counts the links inside that window."""
-    data = load_records(spark, paths)
-    if mode == "validate":
-        return validation(spark, data, out)
+    if mode == "validate":  # needs no more than the ids
+        ids = [S.read_ids(spark, path).withColumn("src", F.lit(k)) for k, path in enumerate(paths, 1)]
+        return validation(spark, ids[0].unionByName(ids[1]).unionByName(ids[2]), out)
     if mode == "score":
         return score_file(spark, f"{out}/matching_results", truth_path)
+    data = load_records(spark, paths)
     truth = known_links(spark, truth_path) if truth_path else None
     if limit is not None or s1_limit is not None:
         data = S.first_rows(data, limit, s1_limit)

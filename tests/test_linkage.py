@@ -242,6 +242,17 @@ def test_whole_run_of_the_second_lineage(spark, tmp_path):
     assert [(r.rule, r.severity) for r in report.collect()] == [("no_candidates", "warning")] and V.exit_code(report) == 0
 
 
+def test_rows_by_id(spark, tmp_path):
+    from kinmatch.operators import profile
+
+    paths, _ = files(tmp_path, 10)
+    ids = records.read_ids(spark, paths[1])
+    assert sorted(r.entity_id for r in ids.collect()) == [f"S2-{i}" for i in (1, 3, 5, 7, 9)]
+    got = profile.only_ids(records.read_source(spark, paths[1]), ids.filter("entity_id < 'S2-5'"))
+    assert sorted(r.entity_id for r in got.collect()) == ["S2-1", "S2-3"]
+    assert [r.x for r in ids.select(B.source_prefix(F.col("entity_id")).alias("x")).distinct().collect()] == ["S2"]
+
+
 def test_windows(spark, tmp_path):
     from kinmatch.plans import linkage
 
