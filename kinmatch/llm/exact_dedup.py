@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import NO_ID, bit_filter, given_id, may_hold, mixed, plain, steps, stored, utf8
+from kinmatch.llm.common import NO_ID, bit_filter, given_id, in_batches, may_hold, mixed, plain, steps, stored, tagged, untagged, utf8
 
 PRIME = np.uint64(2**31 - 1)
 #: Four independent bases below PRIME: about 124 bits together.
@@ -116,23 +116,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts are one group; an empty table gives no rows.
     """
     norm = plain(docs, id_col, text_col).select("did", F.regexp_replace("txt", whitespace, " ").alias("norm"))
-    rows = norm.withColumn("text_sha256", F.sha2("norm", 256)).mapInArrow(_fingerprint_rows, "did long, n_bytes long, fp_a long, fp_b long, text_sha256 string")
+    rows = norm.withColumn("text_sha256", F.sha2("norm", 256)).transform(in_batches, _fingerprint_rows, "did long, n_bytes long, fp_a long, fp_b long, text_sha256 string")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     suspects = rows.groupBy(*KEYS).count().filter("count > 1 and n_bytes > 0").select(*KEYS)
-    chunks = norm.mapInArrow(_chunk_rows(bit_filter(suspects, "fp_a")), "n_bytes long, fp_a long, fp_b long, nth int, chunk binary")
+    chunks = norm.transform(in_batches, _chunk_rows(bit_filter(suspects, "fp_a")), "n_bytes long, fp_a long, fp_b long, nth int, chunk binary")
     compared = chunks.groupBy(*KEYS, "nth").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     collided = compared.filter("least <> most").select(*KEYS).distinct().withColumn("collided", F.lit(True))
-    rows = rows.join(collided, KEYS, "left").withColumn("same", F.when(F.col("collided"), F.col("text_sha256")).otherwise("")).drop("collided")
-    first = F.min(F.struct("did", "row"))
-    groups = rows.groupBy(*KEYS, "same").agg(first.alias("first"), F.count("*").alias("group_size"))
-    out = rows.join(groups, [*KEYS, "same"])
-    return out.select(given_id().alias("doc_id"), F.when(F.col("first.did") != NO_ID, F.col("first.did")).alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_bytes")
+    collided = stored(collided, "collided")
+    if collided.isEmpty():
+        rows = rows.withColumn("same", F.lit(""))
+    else:
+        rows = rows.join(collided, KEYS, "left").withColumn("same", F.when(F.col("collided"), F.col("text_sha256")).otherwise("")).drop("collided")
+    groups = rows.groupBy(*KEYS, "same").agg(F.min(F.struct("did", "row")).alias("first"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = stored(groups, "equal-texts")  # a plain join of two tables, in which Spark splits a text that very many rows have
+    out = rows.join(groups, [*KEYS, "same"], "left").withColumns({"keep": F.coalesce("first.did", "did"), "size": F.coalesce("group_size", F.lit(1))})
+    return out.select(given_id().alias("doc_id"), given_id("keep").alias("keep_id"), F.col("size").alias("group_size"), F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("kept"), "text_sha256", "n_bytes")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whitespace: str = r"[\x20\x09-\x0D]+") -> DataFrame:
     """The rows of docs, with all their columns, that exact_dedup keeps: one of each group of equal texts."""
-    kept = exact_dedup(docs, id_col, text_col, whitespace).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_dedup(docs, id_col, text_col, whitespace).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.col("text_sha256").alias("sha"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_sha": F.sha2(F.regexp_replace(text, whitespace, " "), 256)})
+    named = tagged(docs, id_col, sha=F.sha2(F.regexp_replace(text, whitespace, " "), 256))
     # Rows with one id and equal texts are one row here.
-    return named.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return untagged(named.join(kept, ["did", "sha"], "left_semi").dropDuplicates(["did", "sha"]))
