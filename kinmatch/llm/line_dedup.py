@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, plain, stored
+from kinmatch.llm.common import given_id, in_batches, plain, split_by, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 SEGMENTS = 256
@@ -149,14 +149,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     docs = plain(docs, id_col, text_col)
     binary = docs.select("did", F.col("txt").cast("binary").alias("txt"), F.xxhash64("txt").alias("tk"))
-    hashes = stored(binary.select("txt").mapInArrow(_hash_rows(least_chars), "segment int, n long, hashes binary, repeated binary"), "line-hashes")
+    hashes = stored(binary.select("txt").transform(in_batches, _hash_rows(least_chars), "segment int, n long, hashes binary, repeated binary"), "line-hashes")
     lines = hashes.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_LINE * lines).bit_length())) // SEGMENTS
-    twice = hashes.repartition(SEGMENTS // 4, "segment").sortWithinPartitions("segment").mapInArrow(_filter_rows(bits), "segment int, twice binary")
+    twice = hashes.repartition(SEGMENTS // 4, "segment").sortWithinPartitions("segment").transform(in_batches, _filter_rows(bits), "segment int, twice binary")
     segments = {r.segment: np.frombuffer(r.twice, np.uint8) for r in stored(twice, "line-filter").toLocalIterator()}  # MOST_BITS at most
     sent = spark.sparkContext.broadcast(segments)
-    suspects = stored(binary.mapInArrow(lambda batches: _suspect_rows(least_chars, sent.value, bits)(batches), "did long, tk long, key string"), "line-suspects")
+    suspects = stored(binary.transform(in_batches, lambda batches: _suspect_rows(least_chars, sent.value, bits)(batches), "did long, tk long, key string"), "line-suspects")
     common = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("did").alias("last")).filter(F.col("n") >= least_docs).select("key", "last")
-    gone = suspects.join(common, "key").filter("did < last").groupBy("did", "tk", "key").agg(F.lit(1)).groupBy("did", "tk").agg(F.collect_list("key").alias("keys"))
-    out = binary.join(gone, ["did", "tk"], "left").select("did", "txt", "keys").mapInArrow(_kept_rows(least_chars), "did long, n_lines long, n_dropped long, text string")
+    common = stored(common, "common-lines")  # a plain join of two tables, in which Spark splits a line that very many documents hold
+    gone = suspects.join(common, "key").filter("did < last").groupBy("did", "tk").agg(F.collect_set("key").alias("keys"))
+    gone = stored(gone, "dropped-keys")
+    sent.destroy()
+    touched, others = split_by(binary, gone)
+    touched, others = touched.join(gone, ["did", "tk"], "left").select("did", "txt", "keys"), others.select("did", "txt", F.lit(None).cast("array<string>").alias("keys"))
+    out = touched.unionByName(others).transform(in_batches, _kept_rows(least_chars), "did long, n_lines long, n_dropped long, text string")
     return out.select(given_id().alias("doc_id"), "text", "n_lines", "n_dropped")
