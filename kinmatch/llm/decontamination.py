@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import NO_ID, given_id, plain, steps, text_key, utf8
-from kinmatch.llm.words import ALNUM, words
+from kinmatch.llm.common import given_id, in_batches, mixed, plain, ragged, steps, stored, tagged, text_key, untagged, utf8
+from kinmatch.llm.words import ALNUM, LOWER, words
 
 WINDOW = 13
 SHARD_BYTES = 1 << 20
 SAMPLE = 8
-#: Benchmark text that goes to the tasks at once; a larger benchmark is searched in blocks of about this size.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text that goes to the tasks at once (its windows take some 15 times that); a larger benchmark is searched in blocks of about this size, one pass over the documents each.
+BLOCK_BYTES = 8 << 20
 ROWS = "did long, tk long, n_words long, words array<int>, bytes array<int>, items array<string>"
 
 
@@ -126,6 +126,8 @@ class Phrases:
     """The distinct windows of benchmark items, as right-aligned word numbers."""
 
     vocabulary: np.ndarray  # sorted word hashes; a word's number is its place + 1
+    spelling: np.ndarray  # the words' bytes, in lower case, one after another
+    spelt_at: np.ndarray  # where each word's start, and the end
     windows: np.ndarray
     lengths: np.ndarray
     pairs: np.ndarray  # (window, item) rows, by window
@@ -135,18 +137,26 @@ class Phrases:
     def of(items: list[str | None], texts: list[bytes], window: int = WINDOW) -> Phrases:
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        _, _, hashes, item = words(data, offsets, ALNUM)
-        vocabulary, numbers = np.unique(hashes, return_inverse=True)
-        rows: dict[bytes, set[int]] = {}
-        for i, seq in ((i, numbers[item == i].astype(np.int32) + 1) for i in np.unique(item)):
-            for k in range(max(1, len(seq) - window + 1)):
-                rows.setdefault(seq[k : k + window].tobytes(), set()).add(int(i))
-        windows, lengths, pairs = np.zeros((len(rows), window), np.int64), np.zeros(len(rows), np.int64), []
-        for w, (key, found) in enumerate(rows.items()):
-            seq = np.frombuffer(key, np.int32)
-            windows[w, window - len(seq) :], lengths[w] = seq, len(seq)
-            pairs += [(w, i) for i in sorted(found)]
-        return Phrases(vocabulary, windows, lengths, np.array(pairs, np.int64).reshape(-1, 2), items)
+        starts, ends, hashes, item = words(data, offsets, ALNUM)
+        vocabulary, place, numbers = np.unique(hashes, return_index=True, return_inverse=True)
+        size = (ends - starts)[place]
+        spelling = LOWER[ragged(data, starts[place], size)]
+        numbers = numbers.astype(np.int32) + 1
+        n_words = np.bincount(item, minlength=len(texts))
+        n_windows = np.where(n_words > 0, np.maximum(n_words - window + 1, 1), 0)
+        of_item = np.repeat(np.arange(len(texts)), n_windows)
+        start = ragged(np.arange(len(numbers)), np.cumsum(n_words) - n_words, n_windows)
+        length = np.minimum(n_words, window)[of_item]
+        table, name = np.zeros((len(start), window), np.int32), np.zeros(len(start), np.uint64)
+        for k in range(window):  # from the last word backwards
+            has = length > k
+            table[has, window - 1 - k] = numbers[(start + length - 1 - k)[has]]
+            name = mixed(name * np.uint64(3) + table[:, window - 1 - k].astype(np.uint64) + np.uint64(1))
+        _, first, which = np.unique(name, return_index=True, return_inverse=True)
+        if any(not np.array_equal(table[first, k][which], table[:, k]) for k in range(window)):  # equal names of different windows
+            _, first, which = np.unique(table, axis=0, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), of_item], axis=1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
+        return Phrases(vocabulary, spelling, np.concatenate([[0], np.cumsum(size)]), table[first], length[first], pairs, items)
 
 
 def shard_hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +167,13 @@ def shard_hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray) -> tuple
         return doc, starts, ends, none, hit
     place = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
     number = np.where(phrases.vocabulary[place] == hashes, place + 1, 0)
+    known, size = np.flatnonzero(number), ends - starts
+    known = known[np.diff(phrases.spelt_at)[place[known]] == size[known]]
+    if len(known):  # a word's hash tells its number, its bytes confirm it
+        same = LOWER[ragged(data, starts[known], size[known])] == ragged(phrases.spelling, phrases.spelt_at[place[known]], size[known])
+        known = known[np.logical_and.reduceat(same, np.cumsum(size[known]) - size[known])]
+    number = np.zeros_like(number)
+    number[known] = place[known] + 1
     # Runs of known words within a text, each after one 0.
     breaks = (number == 0) | np.concatenate([[True], doc[1:] != doc[:-1]])
     run = np.cumsum(breaks)
@@ -254,13 +271,18 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
         phrases = Phrases.of([r.item for r in got], [r.txt.encode() for r in got], window)
         phrases.pairs = phrases.pairs[[phrases.items[i] is not None for i in phrases.pairs[:, 1]]] if len(phrases.pairs) else phrases.pairs
         sent = spark.sparkContext.broadcast(phrases)
-        rows = source.mapInArrow(lambda batches, sent=sent: _hit_rows(sent.value)(batches), ROWS)
+        rows = source.transform(in_batches, lambda batches, sent=sent: _hit_rows(sent.value)(batches), ROWS)
+        if blocks > 1:  # one block's windows at a time
+            rows = stored(rows.filter(F.size("words") > 0), "benchmark-hits")
+            sent.destroy()
         found = rows if found is None else found.unionByName(rows)
     if blocks > 1:  # a repeated row counts once here; its results are the same
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        found = found.groupBy("did", "tk").agg(F.first("n_words").alias("n_words"), flat("words"), flat("bytes"), flat("items"))
-        found = source.select("did", "tk").join(found, ["did", "tk"])
-    out = found.mapInArrow(_result_rows, "did long, tk long, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<struct<start:int,end:int>>")
+        found = found.dropDuplicates().groupBy("did", "tk").agg(flat("words"), flat("bytes"), flat("items"))
+        none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+        counted = source.transform(in_batches, _hit_rows(Phrases.of([], [], window)), ROWS).select("did", "tk", "n_words")
+        found = counted.join(found, ["did", "tk"], "left").select("did", "tk", "n_words", none("words", "int"), none("bytes", "int"), none("items", "string"))
+    out = found.transform(in_batches, _result_rows, "did long, tk long, n_words long, n_hit long, items array<string>, items_sha256 string, spans array<struct<start:int,end:int>>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -280,6 +302,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs, with all their columns, that contamination() doesn't find contaminated (each row by itself, also where rows share an id or have none)."""
-    found = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window).filter("contaminated").select(F.col("did").alias("_id"), F.col("tk").alias("_tk"))
-    named = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tk": text_key(text_col)})
-    return named.join(found, ["_id", "_tk"], "left_anti").select(*docs.columns)
+    found = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, window).filter("contaminated").select("did", "tk")
+    return untagged(tagged(docs, id_col, tk=text_key(text_col)).join(found, ["did", "tk"], "left_anti"))
