@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, plain
+from kinmatch.llm.common import given_id, in_batches, plain
 
 # Fixed sets of element names, as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -531,4 +531,4 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     names, descriptions and definitions within drawings, annotations of formulas,
     and what `hidden`, `display:none` or `visibility:hidden` hides.
     """
-    return plain(pages, id_col, html_col).mapInArrow(_text_rows, "did long, text string").select(given_id().alias(id_col), "text")
+    return plain(pages, id_col, html_col).transform(in_batches, _text_rows, "did long, text string").select(given_id().alias(id_col), "text")

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from kinmatch.llm.common import given_id, plain, steps, utf8
+from kinmatch.llm.common import given_id, in_batches, plain, steps, utf8
 from kinmatch.llm.words import NONSPACE, words
 
 #: Labelled documents that the field is fitted on, at most; the sample is by a hash of the id.
@@ -184,7 +185,7 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarra
     return Field(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _feature_rows(batches: Iterator[pa.RecordBatch], stretches: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("txt"))
         for i, j in steps(offsets):
@@ -194,7 +195,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows = []
             for d in range(j - i):
                 starts = range(int(first[d]), int(first[d + 1]), STRETCH)
-                rows += [(i + d, a, min(a + STRETCH, int(first[d + 1]))) for a in starts[:: -(-len(starts) // STRETCHES)]]
+                rows += [(i + d, a, min(a + STRETCH, int(first[d + 1]))) for a in starts[:: -(-len(starts) // stretches)]]
             owner = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("did").take(owner), batch.column("label").take(owner), pa.array([b - a for _, a, b in rows], pa.int32()), pa.array([x[a:b].tobytes() for _, a, b in rows], pa.binary())], ["did", "label", "n", "x"])
 
@@ -219,11 +220,11 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> Field:
-    """The field of a sample of labelled documents, held-out ids excluded. Rows without an id or a label teach nothing."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS, stretches: int = STRETCHES) -> Field:
+    """The field of a sample of labelled documents, held-out ids excluded. Rows without an id or a label teach nothing; of two labels for one id, the smaller counts. Longer documents teach by `stretches` stretches of STRETCH lines, dealt over the whole text."""
     chosen = labels.select(F.col(id_col).cast("long").alias("did"), F.col(label_col).cast("int").alias("label")).filter("did is not null and label in (0, 1)").filter(~held_out(F.col("did")))
-    chosen = chosen.dropDuplicates(["did"]).orderBy(F.xxhash64("did"), "did").limit(sample)
-    rows = plain(docs, id_col, text_col).join(F.broadcast(chosen), "did").mapInArrow(_feature_rows, "did long, label int, n int, x binary").toArrow()  # sample * STRETCH * STRETCHES lines at most
+    chosen = chosen.groupBy("did").agg(F.min("label").alias("label")).orderBy(F.xxhash64("did"), "did").limit(sample)
+    rows = plain(docs, id_col, text_col).join(F.broadcast(chosen), "did").transform(in_batches, lambda batches: _feature_rows(batches, stretches), "did long, label int, n int, x binary").toArrow()  # sample * STRETCH * STRETCHES lines at most
     rows = rows.sort_by([("did", "ascending")])
     if not rows.num_rows:
         return fit(np.zeros((0, 1)), np.zeros(0, int), np.zeros(0), np.zeros(0))
@@ -244,7 +245,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     field = fit_quality(docs, labels, id_col, text_col, label_col, sample)
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    scored = plain(docs, id_col, text_col).mapInArrow(lambda batches: _score_rows(sent.value)(batches), "did long, score double")
+    scored = plain(docs, id_col, text_col).transform(in_batches, lambda batches: _score_rows(sent.value)(batches), "did long, score double")
     return scored.select(given_id().alias("doc_id"), held_out(given_id()).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
@@ -255,9 +256,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(text_col).cast(pa.string()).fill_null("")
+            text = batch.column(at).cast(pa.string()).fill_null("")
             plain_batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int64)), text], ["did", "txt"])
             for scored in _score_rows(sent.value)(iter([plain_batch])):
                 yield batch.filter(pa.array(scored.column("score").to_numpy() >= least))
 
-    return docs.mapInArrow(rows, docs.schema)
+    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]  # any name may stand in docs
+    kinds = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields, strict=True)])
+    return docs.toDF(*names).transform(in_batches, rows, kinds).toDF(*docs.columns)
