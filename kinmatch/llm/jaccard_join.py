@@ -273,6 +273,7 @@ def _set_links(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     # One row stands for all with its set.
     named = sets.filter("n > 0")
     heads = named.groupBy("a", "b", "n").agg(F.min("did").alias("head"), F.min_by("tk", "did").alias("tk"))
+    heads = stored(heads, "set-heads")  # a plain join of two tables, in which Spark splits a set that very many rows have
     copies = named.join(heads.withColumnRenamed("tk", "head_tk"), ["a", "b", "n"]).filter("did <> head or tk <> head_tk").select(F.col("did").alias("a"), F.col("head").alias("b"), F.col("tk").alias("ta"), F.col("head_tk").alias("tb"), F.lit(None).cast("long").alias("both"))
     members = heads.join(rough.withColumnRenamed("node", "tk"), "tk").select("head", "tk", "component", "n")
     # Tiles: stretches of a class's sets, in order of size, with about TILE elements each.
