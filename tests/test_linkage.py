@@ -58,6 +58,20 @@ def test_suffix_pattern_equals_popping(spark):
     assert column(spark, A.normalize_name, names) == [popped(n) for n in names]
 
 
+def test_long_runs_of_suffixes(spark):
+    """A plain repetition overflows the stack of a task here."""
+    run = "co ag as " * 20_000
+    assert column(spark, A.normalize_name, [f"acme {run}", f"{run} x", run, f"x {run} acme {run}"]) == ["acme", f"{run.strip()} x", "", f"x {run.strip()} acme"]
+
+
+def test_long_grams(spark):
+    r = random.Random(3)
+    s = "".join(r.choice("aé😀ग ") for _ in range(200_000))
+    for f, n, t in ((A.trigrams, 3, s.replace(" ", "_")), (A.char4, 4, s)):
+        assert column(spark, f, [s]) == [list(dict.fromkeys(t[i : i + n] for i in range(len(t) - n + 1)))]
+        assert "substring" not in spark.range(1).select(f(F.lit("abcd")))._jdf.queryExecution().logical().toString()  # which walks from the start for each gram
+
+
 def test_pins_and_grams(spark):
     assert column(spark, A.pins, ["12 Main St 560001-1234, 99999, 560001", "1234567", "10001 20002 30003 40004", None]) == [["560001", "99999"], [], ["10001", "20002", "30003"], []]
     assert column(spark, A.trigrams, ["ab c", "ab", ""]) == [["ab_", "b_c"], ["ab"], []]
