@@ -72,6 +72,31 @@ def test_long_grams(spark):
         assert "substring" not in spark.range(1).select(f(F.lit("abcd")))._jdf.queryExecution().logical().toString()  # which walks from the start for each gram
 
 
+def test_numbers_of_many_rows(spark):
+    """Rows are wide, so that AQE merges ranges of whole rows and of sorted columns alone in other ways."""
+    rows = spark.range(0, 200_000, 1, 16).select(F.col("id").alias("ord"), F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    right = F.expr("nth = ord AND total = 200000 AND wide = sha2(string(ord), 512)")
+    assert records.numbered(rows, "ord").agg(F.count("*"), F.count_if(right)).first()[:] == (200_000, 200_000)
+    assert records.numbered(rows, "v").agg(F.countDistinct("nth"), F.min("nth"), F.max("nth")).first()[:] == (200_000, 0, 199_999)
+
+
+def test_long_lists_keep_the_strongest_pairs(spark):
+    """Against all pairs of all lists: only a record's first list may be longer than its budget."""
+    r = random.Random(5)
+    names = ["silver lining", "silver lake", "northern silver works", "delta lining", "x"]
+    rows = [(f"S{i % 3 + 1}-{i}", i, i % 3 + 1, r.choice(names), f"{r.choice(['delta', 'lane', 'omega hill'])} {r.choice(['10001', '20002', ''])}", r.choice(["en", "en", "de"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "entity_id string, ord long, src int, business_name string, business_address string, country string")
+    for p in (queries.PARAMS, K.BlockingParams(token_cap=10, post_budget=7, pre_collect=12), K.BlockingParams(post_budget=60, pre_collect=5)):
+        keys = K.block_keys(K.prepare(docs), p)
+        index, probe = keys.filter("src = 1"), keys.filter("src > 1")
+        df = K.trimmed(index, p)
+        visits = K.budgeted(probe, df, p)
+        columns = ["other_id", "s1_id", "weight", "pre_rank"]
+        plain, kept = (sorted(K.top_by_weight(K.candidates(visits, lists), p.pre_collect).select(columns).collect()) for lists in (index.join(df, "key", "left_semi"), K.visited(index, df, p)))
+        assert kept == plain and plain
+        assert K.visited(index, df, p).groupBy("key").count().agg(F.max("count")).first()[0] <= max(p.post_budget, p.pre_collect)
+
+
 def test_pins_and_grams(spark):
     assert column(spark, A.pins, ["12 Main St 560001-1234, 99999, 560001", "1234567", "10001 20002 30003 40004", None]) == [["560001", "99999"], [], ["10001", "20002", "30003"], []]
     assert column(spark, A.trigrams, ["ab c", "ab", ""]) == [["ab_", "b_c"], ["ab"], []]
