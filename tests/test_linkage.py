@@ -72,6 +72,27 @@ def test_long_grams(spark):
         assert "substring" not in spark.range(1).select(f(F.lit("abcd")))._jdf.queryExecution().logical().toString()  # which walks from the start for each gram
 
 
+def test_retrieved_pairs_never_move(spark):
+    """Against plain sums; lists of targets go to queries, and no exchange lies between pairs and their sums."""
+    r = random.Random(7)
+    rows = [(f"S{i % 3 + 1}-{i % 40:02}x{i}", i, i % 3 + 1, " ".join(r.choices(["silver", "lake", "delta", "omega", "lining"], k=3)), r.choice(["hill road", "10 lake view", ""]), r.choice(["en", "de"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "entity_id string, ord long, src int, business_name string, business_address string, country string")
+    vocabulary, pairs = R.retrieve_candidates(docs, 4, 6, fold=False)
+    first = {}
+    for t in sorted(R.target_tokens(docs, False).collect(), key=lambda t: t.ord):
+        first.setdefault(t.token, []).append(t)
+    idf, sums = {v.token: v.idf for v in vocabulary.collect()}, {}
+    for q in R.query_tokens(docs, False).collect():
+        for t in first.get(q.token, [])[:6]:
+            if t.country == q.country:
+                of = sums.setdefault(q.s1_id, {})
+                of[t.tgt_id] = of.get(t.tgt_id, 0.0) + idf[q.token]
+    want = {(s, t, n) for s, of in sums.items() for n, (t, _) in enumerate(sorted(of.items(), key=lambda x: (-round(x[1], 6), x[0]))[:4])}
+    assert {(p.s1_id, p.tgt_id, p["rank"]) for p in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(s1_id" in plan and not re.search(r"hashpartitioning\(s1_id#\d+, (at|tgt_id)#", plan)
+
+
 def test_numbers_of_many_rows(spark):
     """Rows are wide, so that AQE merges ranges of whole rows and of sorted columns alone in other ways."""
     rows = spark.range(0, 200_000, 1, 16).select(F.col("id").alias("ord"), F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
