@@ -64,6 +64,23 @@ def test_long_runs_of_suffixes(spark):
     assert column(spark, A.normalize_name, [f"acme {run}", f"{run} x", run, f"x {run} acme {run}"]) == ["acme", f"{run.strip()} x", "", f"x {run.strip()} acme"]
 
 
+def test_words_are_found_not_split(spark):
+    """Against the splitting forms; a key array is made once, and sorted without a comparison in lambdas."""
+    r = random.Random(7)
+    texts = ["".join(r.choice(["ab", "12", "7", " ", ".", "road", "é", "ﬁ", "ग", "१", "\n", "😀", "Ab9"]) for _ in range(r.randrange(25))) for _ in range(400)] + [None, "", "123456", "१२३४"]
+    other = "[^0-9a-zऀ-ॿ]+"
+
+    def words(s, least):
+        found = re.split(other, unicode.unicodedata.normalize("NFKC", (s or "").lower()))
+        return list(dict.fromkeys(w for w in found if len(w) >= least and re.search("[^0-9]", w) and w not in A.ADDRESS_SKIP))
+
+    assert column(spark, A.plain_words, texts) == [re.sub(other, " ", (s or "").lower()).strip(" ") for s in texts]
+    for least in (1, 2, 4):
+        assert column(spark, lambda s, k=least: A.address_tokens(s, k), texts) == [words(s, least) for s in texts]
+    plan = queries.QUERIES["block_keys"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(|, A") == 1 and "lambda left" not in plan and "[^0-9a-z" not in plan
+
+
 def test_long_grams(spark):
     r = random.Random(3)
     s = "".join(r.choice("aé😀ग ") for _ in range(200_000))
