@@ -135,6 +135,24 @@ def test_long_lists_keep_the_strongest_pairs(spark):
         assert K.visited(index, df, p).groupBy("key").count().agg(F.max("count")).first()[0] <= max(p.post_budget, p.pre_collect)
 
 
+def test_union_sizes_make_no_pairs_of_equal_names(spark):
+    """Against all pairs of all lists; 3,000 records of one name would make 2 million pairs."""
+    r = random.Random(6)
+    names = ["silver lining", "silver lake", "northern silver works", "delta lining", "x"]
+    rows = [(f"S{i % 3 + 1}-{i}", i, i % 3 + 1, r.choice(names), f"{r.choice(['delta', 'lane', 'omega hill'])} {r.choice(['10001', '20002', ''])}", r.choice(["en", "en", "de"])) for i in range(200)]
+    schema = "entity_id string, ord long, src int, business_name string, business_address string, country string"
+    for p in (queries.PARAMS, K.BlockingParams(token_cap=30, prefix_cap=20, address_cap=25), K.BlockingParams(signature_keys=True, country_free_keys=True)):
+        light = K.prepare(spark.createDataFrame(rows, schema))
+        keys = K.block_keys(light, p)
+        visits = keys.filter("src > 1").join(K.trimmed(keys.filter("src = 1"), p), "key").select(F.col("entity_id").alias("other_id"), F.col("ord").alias("other_ord"), "src", "w", "key", F.lit(0).alias("nth"))
+        plain = K.candidates(visits, keys.filter("src = 1")).groupBy("other_id").agg(F.count("*").alias("n_pairs"), F.sum("weight").alias("weight"))
+        got = K.union_sizes(light, p)
+        assert sorted(got.collect()) == sorted(plain.select(got.columns).collect()) and plain.count() > 100
+    many = spark.range(3000).selectExpr("concat('S', id % 3 + 1, '-', id) entity_id", "id ord", "cast(id % 3 + 1 as int) src", "'one name' business_name", "'' business_address", "'en' country")
+    pairs = K.union_sizes(K.prepare(many), queries.PARAMS)
+    assert {x[1:] for x in pairs.collect()} == {(1000, 8000.0)} and pairs.count() == 2000
+
+
 def test_pins_and_grams(spark):
     assert column(spark, A.pins, ["12 Main St 560001-1234, 99999, 560001", "1234567", "10001 20002 30003 40004", None]) == [["560001", "99999"], [], ["10001", "20002", "30003"], []]
     assert column(spark, A.trigrams, ["ab c", "ab", ""]) == [["ab_", "b_c"], ["ab"], []]
