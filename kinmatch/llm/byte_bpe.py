@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_id, in_batches, joined, plain, ragged, steps, utf8
+from kinmatch.llm.common import given_id, in_batches, joined, plain, ragged, steps, trim, utf8
 from kinmatch.llm.pieces import AT_ONCE, PieceTable
 
 #: Pieces whose ids a Python worker remembers: at least so many of the last ones, at most twice as many.
 REMEMBERED = 1_000_000
+#: Ids whose decimals and bytes are joined at a time (of one text at least): places in them take tens of bytes an id.
+DIGESTED = 1 << 16
 #: Words longer than this fold one by one, by a heap.
 LONG = 96
 NO_RANK = 1 << 30
@@ -192,11 +194,13 @@ def _encoded_rows(path: str, pattern: str, digests: bool, with_ids: bool):
                 ids, at = c.ids(batch.column("txt").slice(i, j - i))
                 columns, names = [batch.column("did").slice(i, j - i)], ["did"]
                 if digests:
-                    columns += [pa.array(np.diff(at)), pa.array([sha(x[1:]) for x in c.decimals.joined(ids, at)], pa.string()), pa.array([sha(x) for x in c.decode(ids, at)], pa.string())]
+                    parts = [(ids[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in steps(at, DIGESTED)]
+                    columns += [pa.array(np.diff(at)), pa.array([sha(x[1:]) for p in parts for x in c.decimals.joined(*p)], pa.string()), pa.array([sha(x) for p in parts for x in c.decode(*p)], pa.string())]
                     names += ["n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     columns, names = [*columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            trim()  # several workers share an executor with a full heap
 
     return rows
 

@@ -17,7 +17,9 @@ from kinmatch.llm.common import joined, ragged
 from kinmatch.llm.words import table, word_hashes
 
 #: Bytes of pieces that are looked up at a time.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
+#: Pieces that are encoded at a time: their strings and lists weigh many times their bytes.
+ENCODED = 1 << 13
 #: What may follow or precede a cut: ASCII but white space and controls (some of which count as white space).
 _INK = table(bytes(range(33, 127)))
 _OTHER = table(bytes(range(128, 256)))
@@ -100,9 +102,11 @@ class PieceTable:
         n_ids[new[again]] = self.older.n_ids[place]
         fresh = np.ones(len(new), bool)
         fresh[again] = False
-        raw = data.tobytes()
-        got = self.encode([raw[a:b].decode() for a, b in zip(at[new[fresh]].tolist(), (at + n)[new[fresh]].tolist(), strict=True)]) if fresh.any() else []
-        n_ids[new[fresh]] = [len(x) // self.kind.itemsize for x in got]
+        got = []
+        for part in np.split(new[fresh], range(ENCODED, int(fresh.sum()), ENCODED)):
+            coded = self.encode([data[a:b].tobytes().decode() for a, b in zip(at[part].tolist(), (at + n)[part].tolist(), strict=True)]) if len(part) else []
+            n_ids[part] = [len(x) // self.kind.itemsize for x in coded]
+            got.append(b"".join(coded))
         # Ids of what is new to the younger table: those of the older one, and the fresh ones.
         more = n_ids[new]
         ends = np.cumsum(more)

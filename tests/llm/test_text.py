@@ -266,6 +266,24 @@ def test_bpe_forgets_without_harm(monkeypatch):
         assert lists(*codec.ids(pa.array(texts))) == [ref.encode_ordinary(t) for t in texts]
 
 
+def test_pieces_are_encoded_and_digested_in_parts(monkeypatch):
+    """The strings of thousands of pieces and the places of all ids never lie in memory at once; empty batches and texts pass."""
+    monkeypatch.setattr("kinmatch.llm.pieces.ENCODED", 7)
+    monkeypatch.setattr(byte_bpe, "DIGESTED", 5)
+    monkeypatch.setattr(byte_bpe, "_CODECS", {})
+    codec, ref = byte_bpe.codec(RANKS, P.PATTERN), reference_encoding()
+    most, learn = [], codec.learn
+    codec.pieces.encode = lambda pieces: (most.append(len(pieces)), learn(pieces))[1]
+    texts = ["", "one two three four five six seven eight nine ten eleven", "", "x", " and so on é " * 9, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["did", "txt"])
+    got = [r for b in byte_bpe._encoded_rows(RANKS, P.PATTERN, True, True)(iter([batch.slice(0, 0), batch])) for r in b.to_pylist()]
+    assert max(most) <= 7 < sum(most)
+    for r, t in zip(got, texts, strict=True):
+        ids = ref.encode_ordinary(t)
+        assert (r["ids"], r["n_tokens"]) == (ids, len(ids))
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
 def test_pieces_with_equal_hashes(monkeypatch):
     """Pieces of different bytes that share a hash across batches are told apart."""
     monkeypatch.setattr(pieces, "word_hashes", lambda data, starts, ends: (data[starts].astype(np.uint64) << np.uint64(8)) + (ends - starts).astype(np.uint64))
