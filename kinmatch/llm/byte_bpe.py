@@ -29,7 +29,7 @@ from kinmatch.llm.common import given_id, in_batches, joined, plain, ragged, ste
 from kinmatch.llm.pieces import AT_ONCE, PieceTable
 
 #: Pieces whose ids a Python worker remembers: at least so many of the last ones, at most twice as many.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Ids whose decimals and bytes are joined at a time (of one text at least): places in them take tens of bytes an id.
 DIGESTED = 1 << 16
 #: Words longer than this fold one by one, by a heap.

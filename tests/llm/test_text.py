@@ -266,6 +266,17 @@ def test_bpe_forgets_without_harm(monkeypatch):
         assert lists(*codec.ids(pa.array(texts))) == [ref.encode_ordinary(t) for t in texts]
 
 
+def test_what_a_worker_remembers_is_small():
+    """Two workers share an executor whose heap is full."""
+    t = pieces.PieceTable(lambda words: [b"\0\0\0\0"] * len(words), np.dtype("<u4"), byte_bpe.REMEMBERED)
+    most = 0
+    for k in range(12):
+        text = " ".join(str(10**7 + k * 10**5 + j) for j in range(10**5)).encode()
+        t.ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        most = max(most, sum(x.nbytes for known in (t.known, t.older) for x in vars(known).values()))
+    assert most < 32e6
+
+
 def test_pieces_are_encoded_and_digested_in_parts(monkeypatch):
     """The strings of thousands of pieces and the places of all ids never lie in memory at once; empty batches and texts pass."""
     monkeypatch.setattr("kinmatch.llm.pieces.ENCODED", 7)
