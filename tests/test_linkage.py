@@ -135,6 +135,19 @@ def test_long_lists_keep_the_strongest_pairs(spark):
         assert K.visited(index, df, p).groupBy("key").count().agg(F.max("count")).first()[0] <= max(p.post_budget, p.pre_collect)
 
 
+def test_words_join_stored_pairs_in_parts(spark, monkeypatch):
+    """Shuffles of keys end before words of records join their pairs, a part at a time; nothing is left to shuffle."""
+    docs = records.document_records(spark, SF)
+    whole = K.scored_candidates(docs, queries.PARAMS)[1]
+    names, settled = [], K.settled
+    monkeypatch.setattr(K, "PART_PAIRS", 50)
+    monkeypatch.setattr(K, "settled", lambda df, label: (names.append(label), settled(df, label))[1])
+    parts = K.scored_candidates(docs, queries.PARAMS)[1]
+    assert names == ["light", "key-counts", "visits", "weighed"] + ["scored"] * K.PARTS
+    assert sorted(parts.collect()) == sorted(whole.select(parts.columns).collect()) and whole.count() > 200
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_union_sizes_make_no_pairs_of_equal_names(spark):
     """Against all pairs of all lists; 3,000 records of one name would make 2 million pairs."""
     r = random.Random(6)
