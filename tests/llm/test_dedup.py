@@ -238,6 +238,36 @@ def test_segments_follow_the_input():
         assert (np.diff(segment_of(keys, segments)) >= 0).all() and segment_of(keys, segments).max() < segments
 
 
+def test_bytes_of_units_go_before_runs_meet(spark, monkeypatch):
+    """What lies on disk while runs meet are the runs and the units' places."""
+    import kinmatch.llm.suffix_dedup as m
+
+    seen, stored, clear = [], m.stored, m.clear
+    monkeypatch.setattr(m, "stored", lambda df, label: (seen.append(label), stored(df, label))[1])
+    monkeypatch.setattr(m, "clear", lambda spark, paths: (seen.extend("no " + p.rsplit("/", 1)[1][:-33] for p in paths), clear(spark, paths)))
+    m.suffix_dedup(table(spark, rows())).collect()
+    assert seen.index("no repeat-units") < seen.index("repeat-runs") < seen.index("repeat-windows")
+
+
+def test_groups_over_batches_and_parts(monkeypatch):
+    """Anchors whose rows lie in several batches, sorted in parts of any size and by either packing of ranks."""
+    import pyarrow as pa
+
+    import kinmatch.llm.suffix_dedup as m
+
+    keys = [0] * 3 + [1] * 31 + [2] + [3] * 25
+    texts = [prose(10 * x + k % 4, 40).encode()[k % 7 : 120 + k % 5] for k, x in enumerate(keys)]
+    did = [k - keys.index(x) for k, x in enumerate(keys)]
+    unit = [b"%d" % k for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(unit), pa.array(did, pa.int64()), pa.array([5] * 60, pa.int32()), pa.array(texts)], ["key", "unit", "did", "at", "bytes"])
+    want = {(unit[k], 5 + i) for k, t in enumerate(texts) for i in range(len(t) - 49) if any(t[i : i + 50] in texts[j] for j in range(k) if keys[j] == keys[k])}
+    for rows_, size, three in ((60, 1 << 17, 1 << 21), (7, 1 << 17, 0), (1, 1, 1 << 21), (9, 500, 1 << 21)):
+        monkeypatch.setattr(m, "SORT_BYTES", size)
+        monkeypatch.setattr(m, "THREE_RANKS", three)
+        got = [r for b in m._sorted_rows(50)(iter([batch.slice(0, 0), *(batch.slice(i, rows_) for i in range(0, 60, rows_))])) for r in b.to_pylist()]
+        assert sorted((r["unit"], r["at"] + i) for r in got for i in range(r["n"])) == sorted(want) and want
+
+
 def test_suffix_order_and_factors():
     text = b"banana bandana banana"
     starts = np.arange(len(text) - 20 + 1)
