@@ -148,6 +148,39 @@ def test_words_join_stored_pairs_in_parts(spark, monkeypatch):
     assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
 
 
+def test_matches_are_counted_over_all_pairs(spark, tmp_path, monkeypatch):
+    """Against evidence of every pair; lists are longer than every cap and budget, and records fill several tiles."""
+    from kinmatch.operators import tiles
+
+    r = random.Random(8)
+    names = ["silver lining", "lining silver", "a b", "b a", "northern silver works", "x", "Inc"]
+    words = ["delta", "lane", "omega", "hill", "10001", "20002", "30003"]
+    text = lambda: r.choice(names) + "\n" + " ".join(r.sample(words, r.randrange(7)))
+    texts = [text() for _ in range(150)]
+    rows = [(i, r.choice([t, t.replace("\n", " \n").upper()]), r.choice(["en", "en", "de", None])) for i, t in enumerate(texts + texts[::5])] + [(1000, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = records.document_records(spark, str(tmp_path)).withColumn("text_key", records.text_key())
+    light = K.prepare(docs, "text_key").withColumn("key", F.transform(K.key_array(), lambda k: k["key"]))
+    side = lambda x, kept: light.filter(kept).select(F.struct(*light.columns).alias(x))
+    l, x = F.col("l"), F.col("r")  # noqa: E741
+    pairs = side("l", "src = 1").crossJoin(side("r", "src > 1")).select(l["ord"].alias("ord"), K.evidence(l, x).alias("score"), F.arrays_overlap(l["key"], x["key"]).alias("met"), (l["text_key"] == x["text_key"]).alias("same"))
+    want = {}
+    for p in pairs.collect():
+        if p.met and p.score >= 6:
+            k, t = want.get(p.ord, (0, 0))
+            want[p.ord] = (k + 1, t + p.same)
+    assert max(k for k, _ in want.values()) > max(queries.PARAMS.post_budget, queries.PARAMS.collect)
+    for size in (8192, 20):
+        monkeypatch.setattr(tiles, "TILE", size)
+        got = K.match_counts(K.prepare(docs, "text_key"), lambda score: score >= 6, queries.PARAMS)
+        assert {g.ord: (g.k, g.t) for g in got.collect() if g.k} == want
+    known = records.document_truth(spark, str(tmp_path)).groupBy("s1_id").count().collect()
+    sizes = records.document_truth_sizes(spark, str(tmp_path)).collect()
+    assert {(m.s1_id, m.m) for m in sizes if m.m} == {tuple(m) for m in known} and len(sizes) == docs.filter("src = 1").count()
+    counts = {c.s1_id: (c.k, c.t) for c in queries._counts(spark, str(tmp_path)).collect()}
+    assert {s1: c for s1, c in counts.items() if c[0]} == {f"S1-{i}": c for i, c in want.items()} and len(counts) == len(sizes)
+
+
 def test_union_sizes_make_no_pairs_of_equal_names(spark):
     """Against all pairs of all lists; 3,000 records of one name would make 2 million pairs."""
     r = random.Random(6)
