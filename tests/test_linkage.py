@@ -110,6 +110,37 @@ def test_retrieved_pairs_never_move(spark):
     assert "hashpartitioning(s1_id" in plan and not re.search(r"hashpartitioning\(s1_id#\d+, (at|tgt_id)#", plan)
 
 
+def test_retrieval_without_a_cap_is_whole(spark, monkeypatch):
+    """Against plain sums over all targets of all tokens, with more holders of a token than any cap here; records fill several tiles."""
+    from kinmatch.operators import tiles
+
+    r = random.Random(9)
+    rows = [(f"S{i % 3 + 1}-{i % 40:02}x{i}", i, i % 3 + 1, " ".join(r.choices(["silver", "lake", "delta", "omega", "lining"], k=3)), r.choice(["hill road", "10 lake view", "late word", ""]), r.choice(["en", "de"])) for i in range(240)]
+    docs = spark.createDataFrame(rows, "entity_id string, ord long, src int, business_name string, business_address string, country string")
+    vocabulary, capped = R.retrieve_candidates(docs, 4, 6, fold=False)
+    idf, sums = {v.token: v.idf for v in vocabulary.collect()}, {}
+    holders = R.target_tokens(docs, False).collect()
+    for q in R.query_tokens(docs, False).collect():
+        for t in holders:
+            if (t.token, t.country) == (q.token, q.country):
+                of = sums.setdefault(q.s1_id, {})
+                of[t.tgt_id] = of.get(t.tgt_id, 0.0) + idf[q.token]
+    want = {(s, t, n, round(x, 6)) for s, of in sums.items() for n, (t, x) in enumerate(sorted(of.items(), key=lambda x: (-round(x[1], 6), x[0]))[:4])}
+    rows_of = lambda pairs: {(p.s1_id, p.tgt_id, p["rank"], round(p.block_score, 6)) for p in pairs.collect()}
+    assert rows_of(capped) != want
+    for size in (8192, 25):
+        monkeypatch.setattr(tiles, "TILE", size)
+        assert rows_of(R.retrieve_candidates(docs, 4, None, fold=False)[1]) == want
+
+
+def test_no_cap_in_retrieval_queries(monkeypatch, spark):
+    """Neither the query nor its SQL takes the first targets of a token."""
+    for name in ("idf_retrieval_topk",):
+        monkeypatch.setattr(R, "capped_postings", None)
+        queries.QUERIES[name](spark, SF)
+        assert "nth <= 40" not in oracles.SQL[name]
+
+
 def test_numbers_of_many_rows(spark):
     """Rows are wide, so that AQE merges ranges of whole rows and of sorted columns alone in other ways."""
     rows = spark.range(0, 200_000, 1, 16).select(F.col("id").alias("ord"), F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
