@@ -135,7 +135,7 @@ def test_retrieval_without_a_cap_is_whole(spark, monkeypatch):
 
 def test_no_cap_in_retrieval_queries(monkeypatch, spark):
     """Neither the query nor its SQL takes the first targets of a token."""
-    for name in ("idf_retrieval_topk",):
+    for name in ("idf_retrieval_topk", "pair_features_b"):
         monkeypatch.setattr(R, "capped_postings", None)
         queries.QUERIES[name](spark, SF)
         assert "nth <= 40" not in oracles.SQL[name]
