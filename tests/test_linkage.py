@@ -141,6 +141,19 @@ def test_no_cap_in_retrieval_queries(monkeypatch, spark):
         assert "nth <= 40" not in oracles.SQL[name]
 
 
+def test_all_pairs_are_scored(spark):
+    """Against the SQL without caps and budgets; the pairs that budgets let through are far fewer."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(oracles.query([*oracles.WHOLE, oracles.TRUTH], "SELECT f.s1_id, f.other_id, (t.s1_id IS NOT NULL)::INT FROM final f LEFT JOIN truth t ON t.s1_id = f.s1_id AND t.other_id = f.other_id")).fetchall()
+    got = queries.QUERIES["gbt_scores"](spark, SF)
+    rows = [(x.s1_id, x.other_id, x.label) for x in got.collect()]
+    assert sorted(rows) == sorted(want) and len(rows) > 2 * queries.QUERIES["entity_budget"](spark, SF).count()
+    assert got.filter("score is null or score < 0 or score > 1").count() == 0
+
+
 def test_numbers_of_many_rows(spark):
     """Rows are wide, so that AQE merges ranges of whole rows and of sorted columns alone in other ways."""
     rows = spark.range(0, 200_000, 1, 16).select(F.col("id").alias("ord"), F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
